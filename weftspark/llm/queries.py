@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftspark.llm import decontam, langid, puquality, simhash
-from weftspark.llm.common import table
+from weftspark.llm import decontam, langid, packing, puquality, simhash, tokenbin
+from weftspark.llm.common import scratch_path, table
 from weftspark.llm.sampling import fold
 
 
+def op2_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = tokenbin.write_token_files(table(spark, sf_dir, "documents"), scratch_path(spark, "planes"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return tokenbin.read_token_files(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -40,6 +51,8 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_token_planes": op2_token_planes,
+    "op3_packing": op3_packing,
     "op5_decontamination": op5_decontamination,
     "op7_language_id": op7_language_id,
     "op8_simhash": op8_simhash,
