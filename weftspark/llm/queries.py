@@ -6,11 +6,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftspark.llm import decontam, langid, packing, puquality, simhash, tokenbin
+from weftspark.llm import decontam, langid, packing, puquality, repetition, simhash, tokenbin
 from weftspark.llm.common import scratch_path, table
 from weftspark.llm.sampling import fold
 
 
+def op1_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.repetition(table(spark, sf_dir, "documents"))
+
+
 def op2_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = tokenbin.write_token_files(table(spark, sf_dir, "documents"), scratch_path(spark, "planes"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
     return tokenbin.read_token_files(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -51,6 +55,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_repetition": op1_repetition,
     "op2_token_planes": op2_token_planes,
     "op3_packing": op3_packing,
     "op5_decontamination": op5_decontamination,
