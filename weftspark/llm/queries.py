@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftspark.llm import decontam, langid, packing, puquality, repetition, simhash, tokenbin
+from weftspark.llm import decontam, langid, packing, puquality, repetition, simhash, tokenbin, toxicity
 from weftspark.llm.common import scratch_path, table
 from weftspark.llm.sampling import fold
 
@@ -37,6 +37,12 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = toxicity.judge(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = langid.identify(docs, langid.fit(docs))
@@ -59,6 +65,7 @@ QUERIES = {
     "op2_token_planes": op2_token_planes,
     "op3_packing": op3_packing,
     "op5_decontamination": op5_decontamination,
+    "op6_toxicity": op6_toxicity,
     "op7_language_id": op7_language_id,
     "op8_simhash": op8_simhash,
     "op9_quality": op9_quality,
