@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftspark.llm import decontam, langid, packing, puquality, repetition, simhash, tokenbin, toxicity
+from weftspark.llm import decontam, langid, packing, puquality, repetition, simhash, tokenbin, toolchat, toxicity
 from weftspark.llm.common import scratch_path, table
 from weftspark.llm.sampling import fold
 
@@ -60,6 +60,36 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
+#: Schemas of the tools that op10 reads out of the plain conversations.
+TOOLS = {
+    "ask": {"type": "object", "properties": {"limit": {"type": "integer", "minimum": 0, "maximum": 49}, "query": {"type": "string", "minLength": 1}}, "required": ["limit", "query"], "additionalProperties": False},
+    "look": {"type": "object", "properties": {"limit": {"type": "integer"}, "query": {"type": "string", "maxLength": 400}}, "required": ["query"], "additionalProperties": False},
+}
+
+
+def op10_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations have no calls of their own, so turns are read as such.
+
+    A user turn is a call whose arguments hold its text; an assistant turn is the
+    result of the call one turn before, and the call after it waits for it; others
+    are messages. Arrival swaps each even turn with the odd one after it, which the order has to undo.
+    """
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    key = lambda back: F.concat_ws(":", "conv_id", F.col("turn") - back)
+    events = turns.select(
+        "conv_id",
+        F.col("turn").bitwiseXOR(F.lit(1).cast("long")).alias("at"),
+        F.when(F.col("role") == "user", "call").when(F.col("role") == "assistant", "result").otherwise("message").alias("kind"),
+        "role",
+        F.when(F.col("role") == "user", key(0)).when(F.col("role") == "assistant", key(1)).alias("call_id"),
+        F.when(F.col("role") == "user", F.when(F.length("text") % 2 == 0, "ask").otherwise("look")).alias("name"),
+        F.when(F.col("role") == "user", F.to_json(F.struct(F.col("text").alias("query"), (F.length("text") % 60).alias("limit")))).alias("arguments"),
+        F.when(F.col("role") != "user", F.col("text")).alias("content"),
+        F.when(F.col("role") == "user", F.array(key(2))).alias("depends_on"),
+    )
+    return toolchat.serialise(events, TOOLS).withColumn("errors", F.array_join("errors", "; "))
+
+
 QUERIES = {
     "op1_repetition": op1_repetition,
     "op2_token_planes": op2_token_planes,
@@ -69,6 +99,7 @@ QUERIES = {
     "op7_language_id": op7_language_id,
     "op8_simhash": op8_simhash,
     "op9_quality": op9_quality,
+    "op10_tool_calls": op10_tool_calls,
 }
 
 ORACLES = {
@@ -98,5 +129,35 @@ WITH lowered AS (
 SELECT l.doc_id, CAST(len(l.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated
 FROM lowered l LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
+""",
+    "op10_tool_calls": r"""
+WITH RECURSIVE turns AS (
+  SELECT conv_id, turn, role, text, xor(turn, 1) AS at FROM conversations
+), calls AS (
+  SELECT conv_id, turn, at, conv_id || ':' || turn AS call_id, CASE WHEN length(text) % 2 = 0 THEN 'ask' ELSE 'look' END AS name, length(text) AS n, text FROM turns WHERE role = 'user'
+), results AS (
+  SELECT conv_id, turn - 1 AS turn, at, conv_id || ':' || (turn - 1) AS call_id, text FROM turns WHERE role = 'assistant'
+), pairs AS (
+  SELECT c.conv_id, c.turn, c.at AS call_at, r.at AS result_at FROM calls c LEFT JOIN results r USING (conv_id, turn)
+), chain AS (
+  SELECT p.*, p.call_at * 1000000 AS k FROM pairs p LEFT JOIN calls b ON b.conv_id = p.conv_id AND b.turn = p.turn - 2 WHERE b.turn IS NULL
+  UNION ALL
+  SELECT p.*, greatest(p.call_at * 1000000, 1 + CASE WHEN c.result_at IS NULL THEN c.k ELSE greatest(c.result_at * 1000000, c.k + 1) END) FROM chain c JOIN pairs p ON p.conv_id = c.conv_id AND p.turn = c.turn + 2
+), judged AS (
+  SELECT *, CASE WHEN name = 'ask' THEN concat_ws('; ', CASE WHEN n % 60 > 49 THEN '$.limit: over maximum' END, CASE WHEN n < 1 THEN '$.query: under minLength' END)
+                 ELSE concat_ws('; ', CASE WHEN n > 400 THEN '$.query: over maxLength' END) END AS errors FROM calls
+)
+SELECT j.conv_id, CAST(k // 1000000 AS BIGINT) AS order_turn, CAST(k % 1000000 AS INTEGER) AS order_step, j.at, 'call' AS kind, j.call_id,
+       CASE WHEN result_at IS NULL THEN 'unanswered' ELSE 'linked' END AS status, CAST(1 AS BIGINT) AS copies, errors = '' AS valid, errors,
+       '{"arguments":{"limit":' || n % 60 || ',"query":' || CAST(to_json(text) AS VARCHAR) || '},"id":"' || call_id || '","name":"' || name || '","role":"user","type":"call"}' AS json
+FROM judged j JOIN chain c USING (conv_id, turn)
+UNION ALL
+SELECT r.conv_id, CAST(CASE WHEN k IS NULL THEN r.at ELSE greatest(r.at * 1000000, k + 1) // 1000000 END AS BIGINT), CAST(CASE WHEN k IS NULL THEN 0 ELSE greatest(r.at * 1000000, k + 1) % 1000000 END AS INTEGER), r.at, 'result', r.call_id,
+       CASE WHEN k IS NULL THEN 'orphan' ELSE 'linked' END, CAST(1 AS BIGINT), k IS NOT NULL, '',
+       '{"content":' || CAST(to_json(r.text) AS VARCHAR) || ',"id":"' || r.call_id || '","name":' || coalesce('"' || name || '"', 'null') || ',"role":"assistant","type":"result"}'
+FROM results r LEFT JOIN chain c USING (conv_id, turn) LEFT JOIN calls n USING (conv_id, turn)
+UNION ALL
+SELECT conv_id, at, 0, at, 'message', NULL, 'message', CAST(1 AS BIGINT), true, '', '{"content":' || CAST(to_json(text) AS VARCHAR) || ',"role":"' || role || '","type":"message"}'
+FROM turns WHERE role NOT IN ('user', 'assistant')
 """,
 }
