@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftspark.llm import decontam, langid, packing, puquality, repetition, simhash, tokenbin, toolchat, toxicity
+from weftspark.llm import decontam, hpylm, langid, packing, puquality, repetition, simhash, tokenbin, toolchat, toxicity
 from weftspark.llm.common import scratch_path, table
 from weftspark.llm.sampling import fold
 
@@ -25,6 +25,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
+def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hpylm.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -94,6 +98,7 @@ QUERIES = {
     "op1_repetition": op1_repetition,
     "op2_token_planes": op2_token_planes,
     "op3_packing": op3_packing,
+    "op4_language_model": op4_language_model,
     "op5_decontamination": op5_decontamination,
     "op6_toxicity": op6_toxicity,
     "op7_language_id": op7_language_id,
@@ -132,13 +137,13 @@ FROM lowered l LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
 """,
     "op10_tool_calls": r"""
 WITH RECURSIVE turns AS (
-  SELECT conv_id, turn, role, text, xor(turn, 1) AS at FROM conversations
+  SELECT conv_id, turn, role, text, xor(turn, 1) AS "at" FROM conversations
 ), calls AS (
-  SELECT conv_id, turn, at, conv_id || ':' || turn AS call_id, CASE WHEN length(text) % 2 = 0 THEN 'ask' ELSE 'look' END AS name, length(text) AS n, text FROM turns WHERE role = 'user'
+  SELECT conv_id, turn, "at", conv_id || ':' || turn AS call_id, CASE WHEN length(text) % 2 = 0 THEN 'ask' ELSE 'look' END AS name, length(text) AS n, text FROM turns WHERE role = 'user'
 ), results AS (
-  SELECT conv_id, turn - 1 AS turn, at, conv_id || ':' || (turn - 1) AS call_id, text FROM turns WHERE role = 'assistant'
+  SELECT conv_id, turn - 1 AS turn, "at", conv_id || ':' || (turn - 1) AS call_id, text FROM turns WHERE role = 'assistant'
 ), pairs AS (
-  SELECT c.conv_id, c.turn, c.at AS call_at, r.at AS result_at FROM calls c LEFT JOIN results r USING (conv_id, turn)
+  SELECT c.conv_id, c.turn, c."at" AS call_at, r."at" AS result_at FROM calls c LEFT JOIN results r USING (conv_id, turn)
 ), chain AS (
   SELECT p.*, p.call_at * 1000000 AS k FROM pairs p LEFT JOIN calls b ON b.conv_id = p.conv_id AND b.turn = p.turn - 2 WHERE b.turn IS NULL
   UNION ALL
@@ -147,17 +152,17 @@ WITH RECURSIVE turns AS (
   SELECT *, CASE WHEN name = 'ask' THEN concat_ws('; ', CASE WHEN n % 60 > 49 THEN '$.limit: over maximum' END, CASE WHEN n < 1 THEN '$.query: under minLength' END)
                  ELSE concat_ws('; ', CASE WHEN n > 400 THEN '$.query: over maxLength' END) END AS errors FROM calls
 )
-SELECT j.conv_id, CAST(k // 1000000 AS BIGINT) AS order_turn, CAST(k % 1000000 AS INTEGER) AS order_step, j.at, 'call' AS kind, j.call_id,
+SELECT j.conv_id, CAST(k // 1000000 AS BIGINT) AS order_turn, CAST(k % 1000000 AS INTEGER) AS order_step, j."at", 'call' AS kind, j.call_id,
        CASE WHEN result_at IS NULL THEN 'unanswered' ELSE 'linked' END AS status, CAST(1 AS BIGINT) AS copies, errors = '' AS valid, errors,
        '{"arguments":{"limit":' || n % 60 || ',"query":' || CAST(to_json(text) AS VARCHAR) || '},"id":"' || call_id || '","name":"' || name || '","role":"user","type":"call"}' AS json
 FROM judged j JOIN chain c USING (conv_id, turn)
 UNION ALL
-SELECT r.conv_id, CAST(CASE WHEN k IS NULL THEN r.at ELSE greatest(r.at * 1000000, k + 1) // 1000000 END AS BIGINT), CAST(CASE WHEN k IS NULL THEN 0 ELSE greatest(r.at * 1000000, k + 1) % 1000000 END AS INTEGER), r.at, 'result', r.call_id,
+SELECT r.conv_id, CAST(CASE WHEN k IS NULL THEN r."at" ELSE greatest(r."at" * 1000000, k + 1) // 1000000 END AS BIGINT), CAST(CASE WHEN k IS NULL THEN 0 ELSE greatest(r."at" * 1000000, k + 1) % 1000000 END AS INTEGER), r."at", 'result', r.call_id,
        CASE WHEN k IS NULL THEN 'orphan' ELSE 'linked' END, CAST(1 AS BIGINT), k IS NOT NULL, '',
        '{"content":' || CAST(to_json(r.text) AS VARCHAR) || ',"id":"' || r.call_id || '","name":' || coalesce('"' || name || '"', 'null') || ',"role":"assistant","type":"result"}'
 FROM results r LEFT JOIN chain c USING (conv_id, turn) LEFT JOIN calls n USING (conv_id, turn)
 UNION ALL
-SELECT conv_id, at, 0, at, 'message', NULL, 'message', CAST(1 AS BIGINT), true, '', '{"content":' || CAST(to_json(text) AS VARCHAR) || ',"role":"' || role || '","type":"message"}'
+SELECT conv_id, "at", 0, "at", 'message', NULL, 'message', CAST(1 AS BIGINT), true, '', '{"content":' || CAST(to_json(text) AS VARCHAR) || ',"role":"' || role || '","type":"message"}'
 FROM turns WHERE role NOT IN ('user', 'assistant')
 """,
 }
