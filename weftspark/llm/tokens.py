@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import json
 import zlib
+from array import array
 
 import numpy as np
 import regex
@@ -62,11 +63,12 @@ class _Generations(dict):
 class WordEncoder:
     """ids of texts as little-endian bytes, 2 or 4 of them for each id."""
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 800_000):
         single_thread()
         self.tokenizer = Tokenizer.from_file(path)
         spec = json.loads(self.tokenizer.to_str())
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.special = [t["content"] for t in spec["added_tokens"]]
         pre, model = spec["pre_tokenizer"] or {}, spec["model"]
         plain = model["type"] == "BPE" and not model["dropout"] and not model["byte_fallback"] and spec["post_processor"] is None
@@ -84,8 +86,11 @@ class WordEncoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        letters = piece.encode().decode("latin-1").translate(_LETTERS)
-        return np.array([t.id for t in self.tokenizer.model.tokenize(letters)], self.dtype).tobytes()
+        if piece.isascii():  # only the blank is not printable here
+            letters = piece.replace(" ", _LETTERS[32])
+        else:
+            letters = piece.encode().decode("latin-1").translate(_LETTERS)
+        return array(self.code, [t.id for t in self.tokenizer.model.tokenize(letters)]).tobytes()
 
     def _word(self, word: str) -> bytes | None:
         """None for what must not be taken by itself: nothing, or white space within."""
@@ -113,7 +118,11 @@ class WordEncoder:
                 parts.append(self.first[words[0]])
                 del words[0]
                 parts.extend(map(self.inner.__getitem__, words))
-            out = self._whole(text) if None in parts else b"".join(parts[1:])
+            parts[0] = b""
+            try:
+                out = b"".join(parts)
+            except TypeError:  # a None among them
+                out = self._whole(text)
         else:
             out = self._whole(text)
         for cache in (self.pieces, self.inner, self.first):
