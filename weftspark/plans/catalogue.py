@@ -2,16 +2,326 @@
 
 from __future__ import annotations
 
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftspark import Dataset, cached, delimited, lines, objects
+from weftspark.functions import rows
+from weftspark.functions.scalars import lcg, render
+from weftspark.operators.http import HttpClient
+from weftspark.operators.order import numbered
+from weftspark.operators.runs import reduce_runs
+from weftspark.plans import jobs
+from weftspark.session import scratch_path
+
+_SERVERS: dict[str, jobs.EchoServer] = {}
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _cents(column: str):
+    return F.round(F.col(column) * 100).cast("bigint")
+
+
+def lines_numbers_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "numbers")
+    Dataset(_table(spark, sf_dir, "events").select("event_id")).save_text(path)
+    return lines(spark, path).map("cast(value AS bigint)").df.agg(F.sum("value").alias("total"))
+
+
+def map_expr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Dataset(_table(spark, sf_dir, "events")).map({"event_id": F.col("event_id"), "cents": _cents("value")}).df
+
+
+def map_python(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customers = Dataset(_table(spark, sf_dir, "customer").select("c_custkey", "c_name"))
+    return customers.map(lambda r: (r.c_custkey, r.c_name.upper()), "c_custkey bigint, loud string").df
+
+
+def map_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Dataset(_table(spark, sf_dir, "events")).map_ordered({"event_id": F.col("event_id"), "kind": F.upper("event_type")}, "event_id").df
+
+
+def filter_expr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = Dataset(_table(spark, sf_dir, "lineitem")).filter("l_quantity > 45")
+    return found.df.select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("bigint").alias("quantity"))
+
+
+def filter_python(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = Dataset(_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("bigint").alias("quantity")))
+    return found.filter(lambda r: r.quantity > 45).df
+
+
+def pair_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Dataset(_table(spark, sf_dir, "nation")).map({"key": F.col("n_name"), "value": F.col("n_regionkey")}).map(render("key", "value").alias("value")).df.withColumnRenamed("value", "line")
+
+
+def _quantities(spark: SparkSession, sf_dir: str) -> Dataset:
+    return Dataset(_table(spark, sf_dir, "lineitem")).map({"key": F.concat_ws("-", "l_returnflag", "l_linestatus"), "value": F.col("l_quantity").cast("bigint")})
+
+
+def _reduced(merge: str):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _quantities(spark, sf_dir).reduce_by_key(merge).df
+
+    return query
+
+
+def rbk_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _quantities(spark, sf_dir).reduce_by_key("avg").df.withColumn("value", F.round(F.col("value") * 1000).cast("bigint"))
+
+
+def rbk_fold_expr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _quantities(spark, sf_dir).fold_by_key(F.lit(0).cast("bigint"), lambda a, b: a + b).df
+
+
+def rbk_python_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _quantities(spark, sf_dir).reduce_by_key(lambda a, b: (a + b) % 1000003)
+    return spark.createDataFrame(out.rdd, "key string, value bigint")
+
+
+def rbk_struct_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = Dataset(_table(spark, sf_dir, "customer")).map({"key": F.struct(F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("segment")), "value": _cents("c_acctbal")})
+    return pairs.reduce_by_key("sum").df.select("key.nation", "key.segment", F.col("value").alias("cents"))
+
+
+def rbk_then_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = Dataset(_table(spark, sf_dir, "orders")).map({"key": F.col("o_custkey"), "value": F.lit(1)})
+    return pairs.reduce_by_key("count").filter("value >= 15").df
+
+
+def rbk_custom_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return numbered(_quantities(spark, sf_dir).reduce_by_key("sum").df, F.col("key").desc())
+
+
+def rbk_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reduce_runs(_table(spark, sf_dir, "events").select("ts", "event_type"), F.col("event_type"), [F.col("ts")], n=F.count("*"))
+
+
+def distinct_idiom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Dataset(_table(spark, sf_dir, "lineitem")).map({"key": F.col("l_suppkey"), "value": F.lit(1)}).reduce_by_key("any").df.select("key")
+
+
+def _scalar(merge: str):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        value = Dataset(_table(spark, sf_dir, "orders")).map(_cents("o_totalprice")).reduce(merge, 0)
+        return spark.createDataFrame([(value,)], "value bigint")
+
+    return query
+
+
+def reduce_mod(spark: SparkSession, sf_dir: str) -> DataFrame:
+    value = Dataset(_table(spark, sf_dir, "orders")).map(F.pmod("o_orderkey", F.lit(10))).reduce("sum", 0)
+    return spark.createDataFrame([(value % 10000,)], "value bigint")
+
+
+def reduce_python(spark: SparkSession, sf_dir: str) -> DataFrame:
+    value = Dataset(_table(spark, sf_dir, "orders")).map("o_orderkey").reduce(lambda a, b: max(a, b), -1)
+    return spark.createDataFrame([(value,)], "value bigint")
+
+
+def reduce_empty_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    value = Dataset(_table(spark, sf_dir, "orders")).filter("o_orderkey < 0").map("o_orderkey").reduce("sum", 0)
+    return spark.createDataFrame([(value,)], "value bigint")
+
 
 def most_popular(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    counts = lines.groupBy(F.pmod(F.abs("l_partkey"), F.lit(100)).alias("key")).agg(F.count("*").alias("n"))
-    return counts.agg(F.max(F.struct("n", "key")).alias("m")).select("m.key", "m.n")
+    return jobs.most_popular(jobs.frequencies(_table(spark, sf_dir, "lineitem"), "l_partkey"))
+
+
+def sorted_natural(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return numbered(_table(spark, sf_dir, "customer").select("c_name", "c_custkey"), F.col("c_name"), F.col("c_custkey"))
+
+
+def sorted_desc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return numbered(_table(spark, sf_dir, "events").select("event_id", "ts"), F.col("ts").desc())
+
+
+def sorted_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return numbered(_table(spark, sf_dir, "part").select("p_brand", "p_size", "p_partkey"), F.col("p_brand"), F.col("p_size").desc(), F.col("p_partkey"))
+
+
+def _blind(a: tuple, b: tuple) -> int:
+    x, y = (a[0].lower(), a[0], a[1]), (b[0].lower(), b[0], b[1])
+    return (x > y) - (x < y)
+
+
+def sorted_cmp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ordered = Dataset(_table(spark, sf_dir, "part").select(F.col("p_name").alias("key"), F.col("p_partkey").alias("value"))).sort(cmp=_blind)
+    return spark.createDataFrame(ordered.rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1] + 1)), "name string, partkey bigint, pos bigint")
+
+
+def sorted_java_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftspark.functions.scalars import java_hash
+
+    return numbered(_table(spark, sf_dir, "nation").select("n_name", java_hash(F.col("n_name")).alias("hash")), F.col("hash"), F.col("n_name"))
+
+
+def _written(spark: SparkSession, df: DataFrame, sep: str, header: bool) -> str:
+    path = scratch_path(spark, "rows")
+    body = df.select(render(*df.columns, sep=sep).alias("value"))
+    if header:
+        body = spark.createDataFrame([(sep.join(df.columns),)], "value string").unionByName(body)
+    body.coalesce(1).write.text(path)
+    return path
+
+
+def rows_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _written(spark, _table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey"), ",", True)
+    return delimited(spark, path, header=True, kinds=["INT", "STRING", "INT"]).df
+
+
+def rows_generated_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return delimited(spark, _written(spark, _table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey"), "||", False), sep="||").df
+
+
+def rows_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _written(spark, _table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", F.col("s_acctbal").cast("decimal(12,2)").alias("s_acctbal")), "|", True)
+    df = delimited(spark, path, header=True, sep="|", kinds=["INT", "STRING", "DOUBLE"]).df
+    key, name, balance = rows.typed(df, "s_suppkey", "INT"), rows.typed(df, "s_name", "STRING"), rows.typed(df, "s_acctbal", "DOUBLE")
+    return df.select(key, name, F.round(balance * 100).cast("bigint").alias("cents"))
+
+
+def rows_boolean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flags = F.element_at(F.array(*[F.lit(x) for x in ("TRUE", "true", "yes", "1", "", "False")]), (F.col("r_regionkey") % 6 + 1).cast("int"))
+    path = _written(spark, _table(spark, sf_dir, "region").select("r_regionkey", flags.alias("flag")), ",", True)
+    return delimited(spark, path, header=True, kinds=["INT", "BOOLEAN"]).df
+
+
+def rows_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "nation").select("n_nationkey", render("n_nationkey", "n_name", "n_regionkey", sep=";").alias("line"))
+
+
+def text_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "text")
+    Dataset(_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), F.col("p_name").alias("value"))).save_text(path)
+    return lines(spark, path).df.withColumnRenamed("value", "line")
+
+
+def object_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "objects")
+    Dataset(_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_orderdate")).save_objects(path)
+    return objects(spark, path).df
+
+
+def cache_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    number = Dataset(_table(spark, sf_dir, "events").select(F.col("event_type").alias("key"), _cents("value").alias("value"))).cache()
+    return cached(spark, number).reduce_by_key("sum").df
+
+
+def random_ints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.range(10_000).select("id", lcg(F.col("id")).alias("value"))
+
+
+def map_http(spark: SparkSession, sf_dir: str) -> DataFrame:
+    host = spark.sparkContext.getConf().get("spark.driver.host", "127.0.0.1")
+    server = _SERVERS.setdefault(host, jobs.EchoServer(host) if host not in _SERVERS else None)
+    url = server.url
+
+    def digit(client: HttpClient, x: int) -> int:
+        return ord(client.get(f"{url}/get?value={x % 10}")[jobs.DIGIT_AT]) - 48
+
+    values = Dataset(_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("value")))
+    return values.map_http(digit, "bigint").df.agg((F.sum("value") % 10000).alias("value"))
+
+
+def show_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ordered = Dataset(_table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("value")))
+    text = "\n".join(r["value"] for r in Dataset(ordered.sort("key").df).rendered().collect())
+    return spark.createDataFrame([(text,)], "text string")
+
 
+QUERIES = {
+    "lines_numbers_sum": lines_numbers_sum,
+    "map_expr": map_expr,
+    "map_python": map_python,
+    "map_ordered": map_ordered,
+    "map_http": map_http,
+    "filter_expr": filter_expr,
+    "filter_python": filter_python,
+    "pair_render": pair_render,
+    "rbk_sum": _reduced("sum"),
+    "rbk_min": _reduced("min"),
+    "rbk_max": _reduced("max"),
+    "rbk_count": _reduced("count"),
+    "rbk_avg": rbk_avg,
+    "rbk_fold_expr": rbk_fold_expr,
+    "rbk_python_merge": rbk_python_merge,
+    "rbk_struct_key": rbk_struct_key,
+    "rbk_then_filter": rbk_then_filter,
+    "rbk_custom_order": rbk_custom_order,
+    "rbk_runs": rbk_runs,
+    "distinct_idiom": distinct_idiom,
+    "reduce_sum": _scalar("sum"),
+    "reduce_max": _scalar("max"),
+    "reduce_mod": reduce_mod,
+    "reduce_python": reduce_python,
+    "reduce_empty_default": reduce_empty_default,
+    "most_popular": most_popular,
+    "sorted_natural": sorted_natural,
+    "sorted_desc": sorted_desc,
+    "sorted_multi": sorted_multi,
+    "sorted_cmp": sorted_cmp,
+    "sorted_java_hash": sorted_java_hash,
+    "rows_header": rows_header,
+    "rows_generated_names": rows_generated_names,
+    "rows_typed": rows_typed,
+    "rows_boolean": rows_boolean,
+    "rows_render": rows_render,
+    "text_roundtrip": text_roundtrip,
+    "object_roundtrip": object_roundtrip,
+    "cache_roundtrip": cache_roundtrip,
+    "random_ints": random_ints,
+    "show_concat": show_concat,
+}
 
-QUERIES = {"most_popular": most_popular}
+_FLAGS = "SELECT l_returnflag || '-' || l_linestatus AS key, {} AS value FROM lineitem GROUP BY 1"
+_QUANTITY = "CAST(l_quantity AS BIGINT)"
+_HASH = "list_reduce(list_transform(string_split(n_name, ''), lambda c: CAST(ascii(c) AS BIGINT)), lambda h, x: (31 * h + x) % 4294967296)"
 
-ORACLES = {"most_popular": "SELECT abs(l_partkey) % 100 AS key, count(*) AS n FROM lineitem GROUP BY 1 ORDER BY n DESC, key DESC LIMIT 1"}
+ORACLES = {
+    "lines_numbers_sum": "SELECT CAST(sum(event_id) AS BIGINT) AS total FROM events",
+    "map_expr": "SELECT event_id, CAST(round(value * 100) AS BIGINT) AS cents FROM events",
+    "map_python": "SELECT c_custkey, upper(c_name) AS loud FROM customer",
+    "map_ordered": "SELECT event_id, upper(event_type) AS kind, row_number() OVER (ORDER BY event_id) AS pos FROM events",
+    "map_http": "SELECT CAST(sum(o_orderkey % 10) % 10000 AS BIGINT) AS value FROM orders",
+    "filter_expr": f"SELECT l_orderkey, l_linenumber, {_QUANTITY} AS quantity FROM lineitem WHERE l_quantity > 45",
+    "filter_python": f"SELECT l_orderkey, l_linenumber, {_QUANTITY} AS quantity FROM lineitem WHERE l_quantity > 45",
+    "pair_render": "SELECT concat_ws(',', n_name, n_regionkey) AS line FROM nation",
+    "rbk_sum": _FLAGS.format(f"CAST(sum({_QUANTITY}) AS BIGINT)"),
+    "rbk_min": _FLAGS.format(f"min({_QUANTITY})"),
+    "rbk_max": _FLAGS.format(f"max({_QUANTITY})"),
+    "rbk_count": _FLAGS.format("count(*)"),
+    "rbk_avg": _FLAGS.format(f"CAST(round(avg({_QUANTITY}) * 1000) AS BIGINT)"),
+    "rbk_fold_expr": _FLAGS.format(f"CAST(sum({_QUANTITY}) AS BIGINT)"),
+    "rbk_python_merge": _FLAGS.format(f"CAST(sum({_QUANTITY}) % 1000003 AS BIGINT)"),
+    "rbk_struct_key": "SELECT c_nationkey AS nation, c_mktsegment AS segment, CAST(sum(CAST(round(c_acctbal * 100) AS BIGINT)) AS BIGINT) AS cents FROM customer GROUP BY 1, 2",
+    "rbk_then_filter": "SELECT o_custkey AS key, count(*) AS value FROM orders GROUP BY 1 HAVING count(*) >= 15",
+    "rbk_custom_order": f"SELECT *, row_number() OVER (ORDER BY key DESC) AS pos FROM ({_FLAGS.format(f'CAST(sum({_QUANTITY}) AS BIGINT)')})",
+    "rbk_runs": "SELECT any_value(event_type) AS key, min(pos) AS first_pos, max(pos) AS last_pos, count(*) AS n FROM (SELECT *, pos - row_number() OVER (PARTITION BY event_type ORDER BY ts) AS island FROM (SELECT event_type, ts, row_number() OVER (ORDER BY ts, event_type) AS pos FROM events)) GROUP BY event_type, island",
+    "distinct_idiom": "SELECT DISTINCT l_suppkey AS key FROM lineitem",
+    "reduce_sum": "SELECT CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS value FROM orders",
+    "reduce_max": "SELECT max(CAST(round(o_totalprice * 100) AS BIGINT)) AS value FROM orders",
+    "reduce_mod": "SELECT CAST(sum(o_orderkey % 10) % 10000 AS BIGINT) AS value FROM orders",
+    "reduce_python": "SELECT max(o_orderkey) AS value FROM orders",
+    "reduce_empty_default": "SELECT CAST(coalesce(sum(o_orderkey), 0) AS BIGINT) AS value FROM orders WHERE o_orderkey < 0",
+    "most_popular": "SELECT abs(l_partkey) % 100 AS key, count(*) AS n FROM lineitem GROUP BY 1 ORDER BY n DESC, key DESC LIMIT 1",
+    "sorted_natural": "SELECT c_name, c_custkey, row_number() OVER (ORDER BY c_name, c_custkey) AS pos FROM customer",
+    "sorted_desc": "SELECT event_id, ts, row_number() OVER (ORDER BY ts DESC, event_id) AS pos FROM events",
+    "sorted_multi": "SELECT p_brand, p_size, p_partkey, row_number() OVER (ORDER BY p_brand, p_size DESC, p_partkey) AS pos FROM part",
+    "sorted_cmp": "SELECT p_name AS name, p_partkey AS partkey, row_number() OVER (ORDER BY lower(p_name), p_name, p_partkey) AS pos FROM part",
+    "sorted_java_hash": f"SELECT n_name, CAST(hash AS INTEGER) AS hash, row_number() OVER (ORDER BY hash, n_name) AS pos FROM (SELECT n_name, CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END AS hash FROM (SELECT n_name, {_HASH} AS h FROM nation))",
+    "rows_header": "SELECT n_nationkey, n_name, n_regionkey FROM nation",
+    "rows_generated_names": "SELECT CAST(n_nationkey AS VARCHAR) AS col0, n_name AS col1, CAST(n_regionkey AS VARCHAR) AS col2 FROM nation",
+    "rows_typed": "SELECT CAST(s_suppkey AS INTEGER) AS s_suppkey, s_name, CAST(round(s_acctbal * 100) AS BIGINT) AS cents FROM supplier",
+    "rows_boolean": "SELECT r_regionkey, r_regionkey % 6 < 2 AS flag FROM region",
+    "rows_render": "SELECT n_nationkey, concat_ws(';', n_nationkey, n_name, n_regionkey) AS line FROM nation",
+    "text_roundtrip": "SELECT concat_ws(',', p_partkey, p_name) AS line FROM part",
+    "object_roundtrip": "SELECT o_orderkey, o_orderpriority, o_orderdate FROM orders",
+    "cache_roundtrip": "SELECT event_type AS key, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS value FROM events GROUP BY 1",
+    "random_ints": "SELECT range AS id, CAST((range * 1103515245 + 12345) % 2147483648 AS INTEGER) AS value FROM range(10000)",
+    "show_concat": "SELECT string_agg(concat_ws(',', n_nationkey, n_name), chr(10) ORDER BY n_nationkey) AS text FROM nation",
+}

@@ -1,0 +1 @@
+"""Empty on purpose: datasets here are finite, so there is no streaming query model to carry over."""
