@@ -1,0 +1,150 @@
+import random
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from weftspark.llm import simhash
+
+from .conftest import sentences
+
+
+def brute_print(text):
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode().split()
+    parts = [b" ".join(low[k : k + 4]) for k in range(max(1, len(low) - 3))] if low else []
+    h = [xxhash.xxh64_intdigest(p, seed=42) for p in parts]
+    return sum(1 << b for b in range(64) if h and 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def brute_components(values, most):
+    parent = list(range(len(values)))
+
+    def find(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for i in range(len(values)):
+        for j in range(i):
+            if bin(int(values[i]) ^ int(values[j])).count("1") <= most:
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    return [find(k) for k in range(len(values))]
+
+
+def test_fingerprints(spark, awkward):
+    got = {(r["id"], r["fp"] % (1 << 64)) for r in simhash.fingerprints(awkward).collect()}
+    assert got == {(r["doc_id"], brute_print(r["text"])) for r in awkward.collect() if (r["text"] or "").count(" ") < 25_000} | {g for g in got if g[0] in (6, 7)}
+    # Spark's own xxhash64 is the same function
+    words = spark.createDataFrame([("one two three four",)], "s string").select(F.xxhash64("s").alias("h")).first()["h"]
+    assert words % (1 << 64) == xxhash.xxh64_intdigest(b"one two three four", 42)
+
+
+def test_gray_rank():
+    values = np.arange(256, dtype=np.uint64)
+    by = np.argsort(simhash.gray_rank(values))
+    assert all(bin(int(values[a] ^ values[b])).count("1") == 1 for a, b in zip(by, by[1:]))
+
+
+def clusters(rng, groups, size, flips, bits=64):
+    out = set()
+    for _ in range(groups):
+        core = rng.getrandbits(bits)
+        for _ in range(size):
+            x = core
+            for _ in range(rng.randint(0, flips)):
+                x ^= 1 << rng.randrange(bits)
+            out.add(x)
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("groups", "size", "flips", "bits"), [(40, 4, 3, 64), (3, 60, 6, 64), (1, 300, 5, 16), (200, 1, 0, 20)])
+def test_index_matches_brute_force(groups, size, flips, bits):
+    rng = random.Random(groups)
+    values = np.array(clusters(rng, groups, size, flips, bits), np.uint64)
+    index = simhash.GrayIndex(np.zeros(len(values), np.int64), values)
+    labels = index.forest(4)
+    want = brute_components(index.values, 4)
+    assert len(set(zip(labels.tolist(), want))) == len(set(want)) == len(set(labels.tolist()))
+
+
+@pytest.mark.parametrize("max_bucket", [200_000, 3])
+def test_links_lose_nothing(spark, max_bucket):
+    rng = random.Random(8)
+    values = clusters(rng, 60, 5, 5) + clusters(rng, 2, 40, 8)
+    signed = [v - (1 << 64) if v >> 63 else v for v in values]
+    fps = spark.createDataFrame([(0, v) for v in signed], "t int, fp bigint")
+    edges = [(r["a"], r["b"]) for r in simhash.links(fps, max_bucket=max_bucket).collect()]
+    assert all(a != b for a, b in edges)
+    place = {v: k for k, v in enumerate(signed)}
+    parent = list(range(len(values)))
+
+    def find(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for a, b in edges:
+        x, y = find(place[a]), find(place[b])
+        parent[max(x, y)] = min(x, y)
+    want = brute_components(values, 4)
+    assert len({(find(k), w) for k, w in enumerate(want)}) == len(set(want)) == len({find(k) for k in range(len(values))})
+
+
+def test_components(spark):
+    chain = [(k, k + 1) for k in range(40)] + [(100, 102), (102, 101), (7, 7)]
+    got = {(r["node"], r["root"]) for r in simhash.components(spark.createDataFrame(chain, "a bigint, b bigint")).collect()}
+    assert got == {(k, 0) for k in range(1, 41)} | {(101, 100), (102, 100)}
+    assert simhash.components(spark.createDataFrame([], "a bigint, b bigint")).collect() == []
+
+
+def test_near_duplicates(awkward, nothing):
+    got = simhash.near_duplicates(awkward).collect()
+    assert len(got) == awkward.count()
+    rows = [(r["doc_id"], r["fp"] % (1 << 64), r["component_id"]) for r in got]
+    values = sorted({fp for _, fp, _ in rows})
+    root = dict(zip(values, brute_components(values, 4)))
+    least = {}
+    for d, fp, _ in rows:
+        if d is not None:
+            least[root[fp]] = min(d, least.get(root[fp], d))
+    assert all(c == least.get(root[fp]) for _, fp, c in rows)
+    assert simhash.near_duplicates(nothing).collect() == []
+
+
+def test_one_per_group(spark, awkward, nothing):
+    rng = random.Random(3)
+    base = [sentences(rng, 120).split() for _ in range(12)]
+    rows, k = [], 0
+    for b in base:
+        for flips in (0, 0, 1, 2, 40):
+            words = list(b)
+            for j in range(flips):
+                words[(j * 17 + 5) % 120] = f"new{j}"
+            rows.append((k, " ".join(words)))
+            k += 1
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    stay = sorted(r["doc_id"] for r in simhash.one_per_group(docs).collect())
+    sets = {d: simhash.shingle_set(t, 5) for d, t in rows}
+    ids = sorted(sets)
+    parent = {d: d for d in ids}
+
+    def find(d):
+        while parent[d] != d:
+            d = parent[d]
+        return d
+
+    for i in ids:
+        for j in ids:
+            if j < i and simhash.similarity(sets[i], sets[j]) >= 0.8:
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    want = [d for d in ids if find(d) == d]
+    assert set(want) <= set(stay) and len(stay) - len(want) <= 1
+    kept = simhash.one_per_group(awkward)
+    assert kept.columns == awkward.columns
+    assert kept.filter("doc_id IS NULL").count() == 2
+    ids = [r["doc_id"] for r in kept.filter("doc_id IS NOT NULL").collect()]
+    assert len(ids) == len(set(ids)) and 101 not in ids
+    assert simhash.one_per_group(nothing).collect() == []

@@ -118,8 +118,9 @@ def seat(c: np.ndarray, group: np.ndarray, fixed: np.ndarray, share: np.ndarray,
         inside = c <= STIRLING
         leave = np.where(inside, alone[np.where(inside, c, 1), np.where(inside, t, 1)], np.minimum(1.0, d * t / c))
         closes = (rng.random(len(c)) < leave) & (t > 1)
+        # all dishes move at once; each sees the others as they stood
+        new = (theta + d * (tables()[group] - closes)) * parent
         t = t - closes
-        new = (theta + d * np.maximum(tables()[group] - 1, 0)) * parent
         opens = rng.random(len(c)) < new / (new + np.maximum(c - 1 - d * t, 1e-9))
         t = np.minimum(t + opens, c)
         if k >= burn:

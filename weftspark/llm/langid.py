@@ -48,14 +48,17 @@ SYMBOL_OF = _symbols()
 
 
 def _laid_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of all texts, each padded to whole windows with 3 blanks at least; windows per text."""
+    """Windows of all texts, a row each with the 3 symbols that follow (blanks behind a text); rows per text."""
     counts = np.array([-(-(len(t) + 3) // WINDOW) for t in texts], np.int64)
-    flat = np.full(int(counts.sum()) * WINDOW + 3, SPACE, np.uint8)
+    rows = np.full((int(counts.sum()), WINDOW + 3), SPACE, np.uint8)
     at = 0
     for t, n in zip(texts, counts.tolist(), strict=True):
-        flat[at : at + len(t)] = SYMBOL_OF[np.frombuffer(t, np.uint8)]
-        at += n * WINDOW
-    return flat, counts
+        flat = np.full(n * WINDOW, SPACE, np.uint8)
+        flat[: len(t)] = SYMBOL_OF[np.frombuffer(t, np.uint8)]
+        rows[at : at + n, :WINDOW] = flat.reshape(n, WINDOW)
+        rows[at : at + n - 1, WINDOW:] = rows[at + 1 : at + n, :3]
+        at += n
+    return rows, counts
 
 
 @dataclass
@@ -139,10 +142,10 @@ class ByteCNN:
             while end < len(texts) and (end == begin or size + len(texts[end]) <= most):
                 size += len(texts[end])
                 end += 1
-            flat, counts = _laid_out(texts[begin:end])
+            rows, counts = _laid_out(texts[begin:end])
             probs, letters = [], []
-            for at in range(0, len(flat) - 3, most):
-                p, n = self._windows(flat[at : at + most + 3])
+            for at in range(0, len(rows), most // WINDOW):
+                p, n = self._windows(rows[at : at + most // WINDOW])
                 probs.append(p)
                 letters.append(n)
             weight = np.concatenate(letters) + 1e-3
@@ -152,21 +155,21 @@ class ByteCNN:
             begin = end
         return out
 
-    def _windows(self, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _windows(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         two, three, head, tail = self._tables()
-        s = flat.astype(np.int32)
-        n = len(s) - 3
-        pairs = s[:-1] * SYMBOLS + s[1:]
+        s = rows.astype(np.int32)
+        pairs = s[:, :-1] * SYMBOLS + s[:, 1:]
+        first, third = pairs[:, :WINDOW], pairs[:, 2:]
         pooled = []
-        for response in (lambda: two[pairs[:n]], lambda: three[pairs[:n] * SYMBOLS + s[2 : n + 2]], lambda: head[pairs[:n]] + tail[pairs[2 : n + 2]]):
-            x = response().reshape(-1, WINDOW, FILTERS)
+        for response in (lambda: two[first], lambda: three[first * SYMBOLS + s[:, 2 : WINDOW + 2]], lambda: head[first] + tail[third]):
+            x = response()
             while x.shape[1] > 1:
                 half = x.shape[1] // 2
                 x = np.maximum(x[:, :half], x[:, half:])
             pooled.append(x[:, 0])
         logits = np.maximum(np.concatenate(pooled, axis=1), 0) @ self.params["out"] + self.params["bias"]
-        kept = (s[:n] < SPACE) | (s[:n] > 28)
-        return _softmax(logits), kept.reshape(-1, WINDOW).sum(axis=1)
+        kept = (rows[:, :WINDOW] < SPACE) | (rows[:, :WINDOW] > 28)
+        return _softmax(logits), kept.sum(axis=1)
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:

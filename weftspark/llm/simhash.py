@@ -14,6 +14,10 @@
    A bucket returns a spanning forest, so its output is linear however dense it is.
 4. Forests of all buckets are joined by large-star/small-star rounds, each
    written to the shared folder.
+
+near_duplicates links by the fingerprints alone. one_per_group looks for Jaccard
+similarity of word shingles: there several SimHashes of words find candidates in
+the same index, and shingle sets decide.
 """
 
 from __future__ import annotations
@@ -196,31 +200,33 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >= _SIGN else mask
 
 
-def links(fps: DataFrame, *, most: int = 4, max_bucket: int = 200_000, depth: int = 4) -> DataFrame:
-    """Spanning links (a, b) of distinct fingerprints fps(fp) at Hamming distance most.
+def links(fps: DataFrame, *, most: int = 4, max_bucket: int = 200_000, depth: int = 4, chains: bool = False) -> DataFrame:
+    """Spanning links (t, a, b) of distinct fingerprints fps(t, fp) at Hamming distance most, for each table t.
 
     Buckets above max_bucket go one level deeper, up to depth; after that a
-    bucket is bounded by the bits left free (26 of 64 for the defaults).
+    bucket is bounded by the bits left free (26 of 64 for the defaults). A bucket
+    links each member of a component to its first one in Gray order; with chains
+    also to the one before it.
     """
     parts = most + 1
     full = (1 << 64) - 1
     level = {0: _split(full, parts)}
-    rows = fps.select("fp", F.explode(F.array(*[F.lit(_signed(m)) for m in level[0]])).alias("mask"))
+    rows = fps.select("t", "fp", F.explode(F.array(*[F.lit(_signed(m)) for m in level[0]])).alias("mask"))
     ready = None
     for at in range(depth):
         rows = rows.withColumn("value", F.col("fp").bitwiseAND(F.col("mask")))
         if at == depth - 1:
             break
-        hot = rows.groupBy("mask", "value").count().filter(F.col("count") > max_bucket).select("mask", "value")
+        hot = rows.groupBy("t", "mask", "value").count().filter(F.col("count") > max_bucket).select("t", "mask", "value")
         hot = materialise(hot, "hot")
         if hot.isEmpty():
             break
-        cold = rows.join(hot, ["mask", "value"], "left_anti")
+        cold = rows.join(hot, ["t", "mask", "value"], "left_anti")
         ready = cold if ready is None else ready.unionByName(cold)
         deeper = {m: [m | x for x in _split(full & ~m, parts)] for m in level[at]}
         level[at + 1] = sorted({x for v in deeper.values() for x in v})
         below = F.create_map(*[c for m, v in deeper.items() for c in (F.lit(_signed(m)), F.array(*[F.lit(_signed(x)) for x in v]))])
-        rows = rows.join(hot, ["mask", "value"], "left_semi").select("fp", F.explode(below[F.col("mask")]).alias("mask"))
+        rows = rows.join(hot, ["t", "mask", "value"], "left_semi").select("t", "fp", F.explode(below[F.col("mask")]).alias("mask"))
     rows = rows if ready is None else ready.unionByName(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,14 +235,28 @@ def links(fps: DataFrame, *, most: int = 4, max_bucket: int = 200_000, depth: in
             return
         data = pa.Table.from_batches(got)
         fp, mask, value = (data.column(c).to_numpy().view(np.uint64) for c in ("fp", "mask", "value"))
-        key = np.lexsort((value, mask))
-        new = np.r_[True, (mask[key][1:] != mask[key][:-1]) | (value[key][1:] != value[key][:-1])]
-        index = GrayIndex(np.cumsum(new), fp[key])
+        table = data.column("t").to_numpy()
+        key = np.lexsort((value, mask, table))
+        new = np.ones(len(key), bool)
+        new[1:] = (mask[key][1:] != mask[key][:-1]) | (value[key][1:] != value[key][:-1]) | (table[key][1:] != table[key][:-1])
+        first = key[new]
+        index = GrayIndex(np.cumsum(new) - 1, fp[key])
         labels = index.forest(most)
-        far = np.flatnonzero(labels != np.arange(len(labels)))
-        yield pa.record_batch([pa.array(index.values[far].view(np.int64)), pa.array(index.values[labels[far]].view(np.int64))], names=["a", "b"])
-
-    return rows.repartition("mask", "value").mapInArrow(run, "a long, b long").distinct()
+        places = np.arange(len(labels))
+        left, right = [places], [labels]
+        if chains:
+            by = np.argsort(labels, kind="stable")
+            same = np.flatnonzero(labels[by][1:] == labels[by][:-1])
+            left.append(by[same + 1])
+            right.append(by[same])
+        a, b = np.concatenate(left), np.concatenate(right)
+        # deeper buckets may hold a fingerprint twice, by two ways to the same mask
+        far = index.values[a] != index.values[b]
+        a, b = a[far], b[far]
+        t = table[first][index.bucket[a]]
+        yield pa.record_batch([pa.array(t, pa.int32()), pa.array(index.values[a].view(np.int64)), pa.array(index.values[b].view(np.int64))], names=["t", "a", "b"])
+
+    return rows.repartition("t", "mask", "value").mapInArrow(run, "t int, a long, b long").distinct()
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -270,20 +290,96 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     prints = materialise(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle, seed=seed), "fp")
     reps = materialise(prints.groupBy("fp").agg(F.min("id").alias("rep")), "reps")
-    roots = components(links(reps.select("fp"), most=most, max_bucket=max_bucket))
+    roots = components(links(reps.select(F.lit(0).alias("t"), "fp"), most=most, max_bucket=max_bucket).select("a", "b"))
     of = reps.join(roots, reps.fp == roots.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     least = of.groupBy("root").agg(F.min("rep").alias("component_id"))
     known = of.join(least, "root").select("fp", "component_id")
     return prints.join(known, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def one_per_component(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """docs with one row of each component of near-duplicates: that of the smallest id.
+# ---- near-copies by shingles: SimHash of words finds candidates, shingle sets decide -------------
+
+
+def word_prints(text: str | None, tables: int) -> list[int]:
+    """`tables` independent SimHashes of the distinct words; a copy with few changed words keeps most bits."""
+    words = set(text.encode("utf-8", "surrogatepass").translate(LOWER).split()) if text else set()
+    if not words:
+        return [0] * tables
+    h = np.array([xxhash.xxh64_intdigest(w, 42) for w in words], np.uint64)
+    out = []
+    for k in range(tables):
+        x = h + np.uint64((k * 0x9E3779B97F4A7C15) % (1 << 64))
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        ones = np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits(2 * ones > len(h), bitorder="little").view(np.int64)[0]))
+    return out
+
+
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the word shingles; fewer words are one shingle, none are none."""
+    words = text.encode("utf-8", "surrogatepass").translate(LOWER).split() if text else []
+    if not words:
+        return np.empty(0, np.uint64)
+    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(words[k : k + shingle])) for k in range(max(1, len(words) - shingle + 1))], np.uint64))
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sorted sets; two empty ones are equal."""
+    if not len(a) and not len(b):
+        return 1.0
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both)
+
 
-    Repeated rows of that id count as copies of it. Rows with a null id cannot
-    be told apart by id and stay.
+def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, at_least: float = 0.8, tables: int = 6, most: int = 4, max_bucket: int = 200_000) -> DataFrame:
+    """(id, component_id) for the ids that have a near-copy: Jaccard similarity of word shingles at_least.
+
+    Candidates come from `tables` SimHash indexes over words. An index gives
+    spanning links and chains in Gray order, never all pairs of a group; each is checked on the
+    whole shingle sets, which only candidates have to send. Null and empty texts
+    are copies of each other. Null ids are left out.
+    """
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id IS NOT NULL")
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch([batch.column(0), pa.array([word_prints(t, tables) for t in batch.column(1).to_pylist()], pa.list_(pa.int64()))], names=["id", "fps"])
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch([batch.column(0), pa.array([shingle_set(t, shingle).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["id", "s"])
+
+    def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (batch.column(c).to_pylist() for c in ("s", "z"))
+            keep = [similarity(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)) >= at_least for p, q in zip(x, y, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    found = materialise(rows.mapInArrow(prints, f"id {kind}, fps array<long>").select("id", F.posexplode("fps").alias("t", "fp")), "prints")
+    reps = materialise(found.groupBy("t", "fp").agg(F.min("id").alias("rep")), "reps")
+    near = links(reps.select("t", "fp"), most=most, max_bucket=max_bucket, chains=True)
+    one, two = reps.select("t", F.col("fp").alias("a"), F.col("rep").alias("x")), reps.select("t", F.col("fp").alias("b"), F.col("rep").alias("y"))
+    across = near.join(one, ["t", "a"]).join(two, ["t", "b"]).select("x", "y")
+    within = found.join(reps, ["t", "fp"]).select(F.col("id").alias("x"), F.col("rep").alias("y"))
+    pairs = across.unionByName(within).filter("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+    pairs = materialise(pairs, "pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    known = materialise(rows.join(wanted, "id", "left_semi").mapInArrow(sets, f"id {kind}, s binary").dropDuplicates(["id"]), "sets")
+    both = pairs.join(known.withColumnRenamed("id", "a"), "a").join(known.withColumnsRenamed({"id": "b", "s": "z"}), "b")
+    good = both.select("a", "b", "s", "z").mapInArrow(checked, f"a {kind}, b {kind}")
+    return components(good).select(F.col("node").alias("id"), F.col("root").alias("component_id"))
+
+
+def one_per_group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """docs with one row of each group of near-copies: that of the smallest id.
+
+    Repeated rows of an id count as copies of it. Rows with a null id cannot be
+    told apart by id and stay.
     """
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **how)
-    stay = found.filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__stay")).distinct()
-    kept = docs.join(stay, docs[id_col] == stay["__stay"], "left_semi").dropDuplicates([id_col])
+    found = similar_components(docs, id_col=id_col, text_col=text_col, **how)
+    gone = found.filter("id <> component_id").select(F.col("id").alias("__gone"))
+    kept = docs.filter(docs[id_col].isNotNull()).join(gone, docs[id_col] == gone["__gone"], "left_anti").dropDuplicates([id_col])
     return kept.unionByName(docs.filter(docs[id_col].isNull()))

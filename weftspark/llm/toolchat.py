@@ -95,8 +95,9 @@ def _once(rows: DataFrame, columns: list[str]) -> DataFrame:
 def link(events: DataFrame, *, max_rounds: int = 100) -> DataFrame:
     """One row per call id of a conversation: its call, its result, both places in the order, the status.
 
-    status: linked, unanswered (no result), orphan (no call), cycle (its order did not
-    settle in max_rounds rounds: a circle of dependencies or a longer chain against arrival).
+    status: linked, unanswered (no result), orphan (no call), cycle (still
+    moving late in max_rounds rounds: in or behind a circle of dependencies, or at the end of a
+    longer chain against arrival).
     """
     known = events.filter("call_id IS NOT NULL AND conv_id IS NOT NULL")
     calls = _once(known.filter("kind = 'call'"), ["name", "arguments", "role", "depends_on"]).withColumnsRenamed({"at": "call_at", "role": "call_role", "copies": "call_copies"})
@@ -104,21 +105,23 @@ def link(events: DataFrame, *, max_rounds: int = 100) -> DataFrame:
     pairs = materialise(calls.join(results, ["conv_id", "call_id"], "full"), "pairs")
     waits = pairs.select("conv_id", "call_id", F.explode(F.array_distinct("depends_on")).alias("dep")).filter("dep IS NOT NULL")
     state = pairs.select("conv_id", "call_id", F.struct(F.coalesce("call_at", "result_at").alias("turn"), F.lit(0).alias("step")).alias("c"), "call_at", "result_at")
-    moved = state.select("conv_id", "call_id").limit(0)
+    state = state.withColumn("moved_at", F.lit(0))
+    settled = True
     has = not waits.isEmpty()
-    for _ in range(max_rounds if has else 0):
+    for k in range(1, max_rounds + 1 if has else 1):
         # where a call's result stands; without one, where the call stands
         after = F.struct(F.col("c.turn"), (F.col("c.step") + 1).alias("step"))
         done = F.when(F.col("call_at").isNull() | F.col("result_at").isNull(), F.col("c")).otherwise(F.greatest(F.struct(F.col("result_at").alias("turn"), F.lit(0).alias("step")), after))
         ready = state.select("conv_id", F.col("call_id").alias("dep"), done.alias("r"))
         need = waits.join(ready, ["conv_id", "dep"]).groupBy("conv_id", "call_id").agg(F.max(F.struct(F.col("r.turn"), (F.col("r.step") + 1).alias("step"))).alias("need"))
         grown = state.join(need, ["conv_id", "call_id"], "left").withColumn("new", F.when(F.col("need") > F.col("c"), F.col("need")).otherwise(F.col("c")))
-        grown = materialise(grown.select("conv_id", "call_id", F.col("new").alias("c"), "call_at", "result_at", (F.col("new") != F.col("c")).alias("moved")), "order")
-        moved = grown.filter("moved").select("conv_id", "call_id")
-        state = grown.drop("moved")
-        if moved.isEmpty():
+        moved = F.col("new") != F.col("c")
+        state = materialise(grown.select("conv_id", "call_id", F.col("new").alias("c"), "call_at", "result_at", F.when(moved, k).otherwise(F.col("moved_at")).alias("moved_at")), "order")
+        settled = state.filter(F.col("moved_at") == k).isEmpty()
+        if settled:
             break
-    circle = moved.withColumn("circle", F.lit(True))
+    # what goes round a circle of up to half the rounds has moved in the later half
+    circle = state.filter(F.lit(not settled) & (F.col("moved_at") > max_rounds // 2)).select("conv_id", "call_id").withColumn("circle", F.lit(True))
     place = state.select("conv_id", "call_id", "c").join(circle, ["conv_id", "call_id"], "left")
     own = F.struct(F.col("result_at").alias("turn"), F.lit(0).alias("step"))
     result = F.when(F.col("call_at").isNull(), own).otherwise(F.greatest(own, F.struct(F.col("c.turn"), (F.col("c.step") + 1).alias("step"))))

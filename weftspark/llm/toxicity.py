@@ -204,8 +204,9 @@ def _train(rows: list[np.ndarray], truth: np.ndarray, *, least: int, epochs: int
     m, v = np.zeros(len(known) + 1), np.zeros(len(known) + 1)
     rng = np.random.default_rng(seed)
     step = 0
-    for _ in range(epochs):
-        for part in np.array_split(rng.permutation(len(rows)), max(1, len(rows) // 256)):
+    parts = max(1, len(rows) // 128)
+    for _ in range(max(epochs, 1000 // parts)):
+        for part in np.array_split(rng.permutation(len(rows)), parts):
             sizes = np.array([len(at[k]) for k in part])
             flat = np.concatenate([at[k] for k in part])
             doc = np.repeat(np.arange(len(part)), sizes)
