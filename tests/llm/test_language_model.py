@@ -84,8 +84,8 @@ def test_gibbs_matches_exact_distribution():
         assert abs(size[c, 1] - (S[c - 1, 0] / S[c, 1])) < 1e-9
         weight = [0.0] + [S[c, t] * parent**t * math.prod(theta + d * i for i in range(t)) for t in range(1, c + 1)]
         exact = sum(t * w for t, w in enumerate(weight)) / sum(weight)
-        n = 4000
-        mean, _ = hpylm.seat(np.full(n, c), np.arange(n), np.zeros(n), np.ones(n), np.full(n, parent), d, theta, sweeps=40, burn=20, seed=c)
+        n = 2000
+        mean, _ = hpylm.seat(np.full(n, c), np.arange(n), np.zeros(n), np.ones(n), np.full(n, parent), d, theta, sweeps=400, burn=200, seed=c)
         assert abs(mean.mean() - exact) < 0.05 * exact
 
 

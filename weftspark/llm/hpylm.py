@@ -427,7 +427,7 @@ def _score(batches: Iterator[pa.RecordBatch], buckets: int, hot: int, sums: dict
             )
 
 
-def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, held_fold: int = 0, block_words: int = 1_000_000, hot: int = 500_000, theta: float = 2.0, top_theta: float = 100.0, sweeps: int = 10, burn: int = 4, seed: int = 17) -> DataFrame:
+def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, held_fold: int = 0, block_words: int = 1_000_000, hot: int = 500_000, theta: float = 2.0, top_theta: float = 100.0, sweeps: int = 12, burn: int = 4, seed: int = 17) -> DataFrame:
     """One row per document row; the model learns from rows outside the held-out fold.
 
     doc_id, held_out, n_tokens (with the end), n_known (tokens seen in training),
