@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from weftspark.session import scratch_path, scratch_root  # noqa: F401
+
 #: A-Z to a-z, every other byte as it is.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -16,27 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir.
-
-    Only a local session may go without it (tests): there a fresh temporary
-    folder is used, as driver and executors are one process.
-    """
-    sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if root:
-        return root.rstrip("/")
-    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    root = f"file://{tempfile.mkdtemp(prefix='weft-')}"
-    sc.setCheckpointDir(root)
-    return root
-
-
-def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark)}/weft-{label}-{uuid.uuid4().hex[:12]}"
-
-
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again.
 
@@ -56,11 +37,13 @@ def delete_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def ascii_words(text: str | None) -> list[bytes]:
-    """Words [^\\x20\\x09-\\x0D]+ as UTF-8; bytes.split() cuts at just these six bytes."""
-    return text.encode("utf-8", "surrogatepass").split() if text else []
-
-
 def single_thread() -> None:
     """Tokenizers' own threads would fight with Spark's task slots."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
+
+
+def small(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, so that texts turn into Python objects a few at a time."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)

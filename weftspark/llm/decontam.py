@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
-from weftspark.llm.common import LOWER
+from weftspark.llm.common import LOWER, small
 
 #: Lower-cases A-Z and turns every ASCII byte that is neither letter nor digit into a space.
 _NORMAL = bytes(b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in LOWER)
@@ -228,7 +228,7 @@ def contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
     blocks = item_blocks(items, item_id, item_text, block_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             got = _scan(batch.column(1).to_pylist(), blocks, window)
             yield pa.record_batch(
                 [
@@ -270,7 +270,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, text_col: str = "text",
     count = schema.names.index(n_chars_col) if n_chars_col in schema.names else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             texts = batch.column(place).to_pylist()
             keep, changed = [], False
             for k, (n, spans, found, _) in enumerate(_scan(texts, blocks, window)):

@@ -22,6 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftspark.llm.common import small
 from weftspark.llm.sampling import bounded, fold, windows
 
 WINDOW, WIDTHS, FILTERS, EMBED, SYMBOLS = 256, (2, 3, 4), 16, 8, 64
@@ -133,7 +134,7 @@ class ByteCNN:
             _TABLES[key] = (pair(*one[2]), triple, pair(one[4][0], one[4][1]), pair(one[4][2], one[4][3]))
         return _TABLES[key]
 
-    def predict(self, texts: list[bytes], most: int = 1 << 19) -> np.ndarray:
+    def predict(self, texts: list[bytes], most: int = 1 << 17) -> np.ndarray:
         """Probabilities of each text; texts of any length, `most` bytes at a time."""
         out = np.zeros((len(texts), len(self.labels)), np.float64)
         begin = 0
@@ -221,7 +222,7 @@ def identify(docs: DataFrame, model: ByteCNN | None, *, id_col: str = "doc_id",
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             named, scores = _judge(model, batch.column(1).to_pylist())
             yield pa.record_batch([batch.column(0), pa.array(named, pa.string()), pa.array(scores, pa.float64())], names=["id", "lang_pred", "score"])
 
@@ -234,7 +235,7 @@ def keep_identified(docs: DataFrame, model: ByteCNN | None, *, text_col: str = "
     place = docs.schema.names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             named, scores = _judge(model, batch.column(place).to_pylist())
             yield batch.filter(pa.array([n != "und" and s >= min_score for n, s in zip(named, scores, strict=True)], pa.bool_()))
 

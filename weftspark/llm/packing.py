@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftspark.llm.common import scratch_path
+from weftspark.llm.common import scratch_path, small
 from weftspark.llm.tokens import encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long"
@@ -177,7 +177,7 @@ def pack_documents(docs: DataFrame, tokenizer_file: str, *, limit: int = 2048, e
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         words = encoder(tokenizer_file)
-        for batch in batches:
+        for batch in small(batches):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = np.concatenate([words.ids(text).astype("<u4"), tail])
                 for k, at in enumerate(range(0, len(ids), limit)):

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftspark.llm.common import small
 from weftspark.llm.sampling import bounded, fold
 
 SYMBOL_BYTES = b"#*$%&|<>!{}[]@_=~^\\/"
@@ -147,7 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     wanted = F.broadcast(positive.withColumn("positive", F.lit(1)).unionByName(unlabelled.withColumn("positive", F.lit(0))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(matrix(batch.column(2).to_pylist()).tolist(), pa.list_(pa.float64()))], names=["id", "positive", "x"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -175,7 +176,7 @@ def judge(docs: DataFrame, model: PUModel | None, *, id_col: str = "doc_id", tex
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             s = _scores(model, batch.column(1).to_pylist())
             yield pa.record_batch([batch.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["id", "score", "predicted"])
 
@@ -188,7 +189,7 @@ def keep_good(docs: DataFrame, model: PUModel | None, *, text_col: str = "text",
     place = docs.schema.names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             yield batch.filter(pa.array(_scores(model, batch.column(place).to_pylist()) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)

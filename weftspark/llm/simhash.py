@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftspark.llm.common import LOWER, materialise
+from weftspark.llm.common import LOWER, materialise, small
 
 FANOUT = 8
 #: pairs of members looked at in one go
@@ -60,7 +60,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """id, fp (long, the 64 bits as they are); one row per input row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             values = np.array([fingerprint(t, shingle, seed) for t in batch.column(1).to_pylist()], np.uint64)
             yield pa.record_batch([batch.column(0), pa.array(values.view(np.int64))], names=["id", "fp"])
 
@@ -345,15 +345,15 @@ def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     kind = docs.schema[id_col].dataType.simpleString()
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             yield pa.record_batch([batch.column(0), pa.array([word_prints(t, tables) for t in batch.column(1).to_pylist()], pa.list_(pa.int64()))], names=["id", "fps"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             yield pa.record_batch([batch.column(0), pa.array([shingle_set(t, shingle).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["id", "s"])
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             x, y = (batch.column(c).to_pylist() for c in ("s", "z"))
             keep = [similarity(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)) >= at_least for p, q in zip(x, y, strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))

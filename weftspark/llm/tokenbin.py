@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftspark.llm.common import materialise
+from weftspark.llm.common import materialise, small
 from weftspark.llm.tokens import encoder
 
 MAGIC = b"WPLN1\n"
@@ -203,7 +203,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_file: str, *, end_id
             size = writer.close()
             done.append((name, now[0], now[1], len(writer.lengths), writer.n_ids, size))
 
-        for batch in batches:
+        for batch in small(batches):
             for doc_id, text, k in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
                 if writer is None or now[0] != k or writer.n_ids >= file_ids:
                     if writer is not None:
@@ -242,7 +242,7 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
-        for batch in batches:
+        for batch in small(batches):
             for path, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 fs, place = pa.fs.FileSystem.from_uri(path)
                 with fs.open_input_file(place) as source:

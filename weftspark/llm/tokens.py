@@ -63,7 +63,7 @@ class _Generations(dict):
 class WordEncoder:
     """ids of texts as little-endian bytes, 2 or 4 of them for each id."""
 
-    def __init__(self, path: str, limit: int = 800_000):
+    def __init__(self, path: str, limit: int = 500_000):
         single_thread()
         self.tokenizer = Tokenizer.from_file(path)
         spec = json.loads(self.tokenizer.to_str())
@@ -77,7 +77,7 @@ class WordEncoder:
             self.kind, self.pattern = "byte", regex.compile(BYTE_PATTERN)
         elif plain and pre.get("type") == "Sequence" and pre["pretokenizers"][0].get("pattern", {}).get("Regex") == WORD_PATTERN and [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]:
             self.kind, self.pattern = "word", regex.compile(WORD_PATTERN)
-        self.pieces = _Generations(self._piece, limit // 2)
+        self.pieces = _Generations(self._piece, 7 * limit // 10)
         self.inner = _Generations(lambda w: self._word(" " + w) if self.kind == "byte" else self._word(w), limit)
         self.first = _Generations(self._word, limit // 2)
         self.feed = self._whole("\n")

@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftspark.llm.common import small
 from weftspark.llm.sampling import bounded, fold
 from weftspark.llm.tokens import _Generations
 
@@ -66,7 +67,7 @@ def character_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SIGNS**3, np.int64)
-        for batch in batches:
+        for batch in small(batches):
             texts = batch.column(0).to_pylist()
             for k in range(0, len(texts), 500):
                 total += trigram_counts(texts[k : k + 500])
@@ -235,7 +236,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(characters)
-        for batch in batches:
+        for batch in small(batches):
             out = [np.unique(np.array([f for w in restorer.words(t) for f in features(w)], np.uint64)).tobytes() for t in batch.column(2).to_pylist()]
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["id", "y", "x"])
 
@@ -267,7 +268,7 @@ def judge(docs: DataFrame, model: ToxicModel, *, id_col: str = "doc_id", text_co
             _SCORERS.clear()
             _SCORERS[key] = mine.scorer()
         scorer = _SCORERS[key]
-        for batch in batches:
+        for batch in small(batches):
             s = np.array([scorer.score(t) for t in batch.column(1).to_pylist()], np.float64)
             yield pa.record_batch([batch.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["id", "score", "predicted"])
 
