@@ -12,8 +12,8 @@ File layout, all numbers little-endian:
 
 The chunk index gives random access: ids a..b touch only the chunks that hold them.
 
-Scale: documents are dealt into ranges of their id by quantiles of that one
-column, sorted within a range, and each range becomes files of at most `file_ids`
+Scale: documents are dealt into ranges of their id,
+sorted within a range, and each range becomes files of at most `file_ids`
 ids, written to the shared folder under names of their own. Only files in the
 manifest count, so lost or repeated tasks leave no trace. Where a file begins in
 the whole sequence follows from sums over files, never over documents.
@@ -184,13 +184,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_file: str, *, end_id
     spark = docs.sparkSession
     n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    cuts = sorted(set(rows.agg(F.percentile_approx("id", [k / n for k in range(1, n)], 20 * n)).first()[0] or [])) if n > 1 else []
-    part = F.lit(0)
-    if cuts:
-        # ids up to cuts[0] are part 0 and so on; nulls come first
-        edges = F.array(*[F.lit(c) for c in cuts])
-        part = F.coalesce(F.size(F.filter(edges, lambda c: c < F.col("id"))), F.lit(0))
-    dealt = rows.withColumn("part", part.cast("int")).repartitionById(max(1, len(cuts) + 1), "part").sortWithinPartitions("part", F.asc_nulls_first("id"), "text")
+    # one pass follows the deal, so the number of a range can be that of its partition
+    dealt = rows.repartitionByRange(n, F.asc_nulls_first("id")).sortWithinPartitions(F.asc_nulls_first("id"), "text").withColumn("part", F.spark_partition_id())
     tail = np.array([] if end_id is None else [end_id], "<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
