@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Column kinds of a row schema and their Spark types.
+#: The column kinds of a row schema, and their Spark types.
 KINDS = {"STRING": T.StringType(), "INT": T.IntegerType(), "DOUBLE": T.DoubleType(), "BOOLEAN": T.BooleanType()}
 _INT = r"^[+-]?[0-9]+$"
 _DOUBLE = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?[fFdD]?$|^[+-]?(NaN|Infinity)$"

@@ -14,7 +14,7 @@ from weftspark.dataset import Dataset
 from weftspark.operators.http import HttpClient
 from weftspark.sources.readers import random_ints
 
-#: Where the echoed digit stands in the answer of /get: {"args":{"value":"n"},...
+#: Fixed value: where the echoed digit stands in the answer of /get: {"args":{"value":"n"},...
 DIGIT_AT = 18
 
 
