@@ -185,7 +185,7 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", labe
     if there is nothing to learn from.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).alias("label")).filter(F.col("label").isNotNull() & (fold("id", folds) != held_fold))
-    chosen = bounded(rows, "label", "id", max_docs_per_label).filter("length(text) > 0").select("id", "label", windows("text", "id", pieces, WINDOW).alias("w"))
+    chosen = bounded(rows, "label", "id", max_docs_per_label).filter("length(text) > 0").select("id", "label", windows("text", "id", pieces, WINDOW).alias("w")).dropDuplicates(["id", "label"])
     got = sorted(chosen.collect(), key=lambda r: (str(r["id"]), r["w"]))
     samples = [(r["label"], w.encode("utf-8", "surrogatepass")) for r in got for w in r["w"] if _LETTER.search(w)]
     if not samples:

@@ -152,7 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(matrix(batch.column(2).to_pylist()).tolist(), pa.list_(pa.float64()))], names=["id", "positive", "x"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    got = rows.join(wanted, "id").select("id", "positive", "text").mapInArrow(run, f"id {kind}, positive int, x array<double>").collect()
+    got = rows.join(wanted, "id").select("id", "positive", "text").mapInArrow(run, f"id {kind}, positive int, x array<double>").dropDuplicates(["id", "positive"]).collect()
     got.sort(key=lambda r: (r["positive"], r["id"], r["x"]))
     xp = np.array([r["x"] for r in got if r["positive"]]).reshape(-1, FEATURES)
     xu = np.array([r["x"] for r in got if not r["positive"]]).reshape(-1, FEATURES)

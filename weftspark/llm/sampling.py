@@ -22,7 +22,8 @@ def bounded(rows: DataFrame, by: str, id_col: str, most: int) -> DataFrame:
     """About `most` rows of each value of `by` at most, chosen by a hash of the id.
 
     Counts first, on two columns; then one threshold for each value. Which rows
-    are chosen does not depend on partitions or order.
+    are chosen does not depend on partitions or order. Rows that repeat an id go
+    or stay together; callers take one of them, which keeps the bound.
     """
     counts = {r[0]: r[1] for r in rows.groupBy(by).count().collect()}
     if not counts:

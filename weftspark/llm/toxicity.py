@@ -241,7 +241,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["id", "y", "x"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    got = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted, "id").select("id", "y", "text").mapInArrow(run, f"id {kind}, y int, x binary").collect()
+    got = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted, "id").select("id", "y", "text").mapInArrow(run, f"id {kind}, y int, x binary").dropDuplicates(["id", "y"]).collect()
     got.sort(key=lambda r: (r["id"], r["y"], bytes(r["x"])))
     truth = np.array([r["y"] for r in got], np.float64)
     if not len(got):
