@@ -362,13 +362,14 @@ def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     reps = materialise(found.groupBy("t", "fp").agg(F.min("id").alias("rep")), "reps")
     near = links(reps.select("t", "fp"), most=most, max_bucket=max_bucket, chains=True)
     one, two = reps.select("t", F.col("fp").alias("a"), F.col("rep").alias("x")), reps.select("t", F.col("fp").alias("b"), F.col("rep").alias("y"))
-    across = near.join(one, ["t", "a"]).join(two, ["t", "b"]).select("x", "y")
-    within = found.join(reps, ["t", "fp"]).select(F.col("id").alias("x"), F.col("rep").alias("y"))
+    # merge joins at every size: a plan that broadcasts what happens to be small moves texts only beyond that
+    across = near.join(one.hint("merge"), ["t", "a"]).join(two.hint("merge"), ["t", "b"]).select("x", "y")
+    within = found.join(reps.hint("merge"), ["t", "fp"]).select(F.col("id").alias("x"), F.col("rep").alias("y"))
     pairs = across.unionByName(within).filter("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
     pairs = materialise(pairs, "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    known = materialise(rows.join(wanted, "id", "left_semi").mapInArrow(sets, f"id {kind}, s binary").dropDuplicates(["id"]), "sets")
-    both = pairs.join(known.withColumnRenamed("id", "a"), "a").join(known.withColumnsRenamed({"id": "b", "s": "z"}), "b")
+    known = materialise(rows.join(wanted.hint("merge"), "id", "left_semi").mapInArrow(sets, f"id {kind}, s binary").dropDuplicates(["id"]), "sets")
+    both = pairs.join(known.withColumnRenamed("id", "a").hint("merge"), "a").join(known.withColumnsRenamed({"id": "b", "s": "z"}).hint("merge"), "b")
     good = both.select("a", "b", "s", "z").mapInArrow(checked, f"a {kind}, b {kind}")
     return components(good).select(F.col("node").alias("id"), F.col("root").alias("component_id"))
 
@@ -380,6 +381,6 @@ def one_per_group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     told apart by id and stay.
     """
     found = similar_components(docs, id_col=id_col, text_col=text_col, **how)
-    gone = found.filter("id <> component_id").select(F.col("id").alias("__gone"))
+    gone = found.filter("id <> component_id").select(F.col("id").alias("__gone")).hint("merge")
     kept = docs.filter(docs[id_col].isNotNull()).join(gone, docs[id_col] == gone["__gone"], "left_anti").dropDuplicates([id_col])
     return kept.unionByName(docs.filter(docs[id_col].isNull()))
