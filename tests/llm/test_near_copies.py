@@ -148,3 +148,20 @@ def test_one_per_group(spark, awkward, nothing):
     ids = [r["doc_id"] for r in kept.filter("doc_id IS NOT NULL").collect()]
     assert len(ids) == len(set(ids)) and 101 not in ids
     assert simhash.one_per_group(nothing).collect() == []
+
+
+def _stay(spark, rows):
+    return sorted(r["doc_id"] for r in simhash.one_per_group(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect())
+
+
+def test_equal_texts_behind_an_unlike_first_one(spark):
+    """2 and 3 are equal; 1 has the same words in another order and is like neither."""
+    rng = random.Random(8)
+    words = sentences(rng, 60).split()
+    text = " ".join(words)
+    rng.shuffle(words)
+    assert _stay(spark, [(1, " ".join(words)), (2, text), (3, text)]) == [1, 2]
+    # copies like each other, all of them unlike the smallest id of their words
+    near = text.split()
+    near[-1] = near[0]
+    assert _stay(spark, [(1, " ".join(words)), (2, text), (3, " ".join(near))]) == [1, 2]
