@@ -165,3 +165,22 @@ def test_equal_texts_behind_an_unlike_first_one(spark):
     near = text.split()
     near[-1] = near[0]
     assert _stay(spark, [(1, " ".join(words)), (2, text), (3, " ".join(near))]) == [1, 2]
+
+
+def test_cut_and_extended_copies(spark):
+    """Contiguous changes at Jaccard 0.8 and above are all found, just below it none."""
+    rows, want = [], []
+    for n in (60, 200, 600):
+        for k in range(12):
+            words = [f"w{n}x{k}y{j}" for j in range(n)]
+            shingles = n - 4
+            for other in (words[: 4 + -(-shingles * (80 + k) // 100)], [*words, *(f"e{n}x{k}y{j}" for j in range(shingles * (19 - k) // 76))]):
+                a, b = simhash.shingle_set(" ".join(words), 5), simhash.shingle_set(" ".join(other), 5)
+                assert 0.8 <= simhash.similarity(a, b) < 1
+                want.append(len(rows))
+                tag = "p" if other[0] == words[0] and len(other) < n else "q"
+                rows += [(len(rows), " ".join(tag + w for w in words)), (len(rows) + 1, " ".join(tag + w for w in other))]
+            short = words[: 3 + -(-shingles * 80 // 100)]
+            want += [len(rows), len(rows) + 1]
+            rows += [(len(rows), " ".join("r" + w for w in words)), (len(rows) + 1, " ".join("r" + w for w in short))]
+    assert _stay(spark, rows) == want
