@@ -89,6 +89,25 @@ def test_gibbs_matches_exact_distribution():
         assert abs(mean.mean() - exact) < 0.05 * exact
 
 
+def test_production_sweeps_reach_the_exact_mean():
+    d, theta, parent = 0.7, 2.0, 0.3
+    t = np.arange(121)
+    row = np.where(t == 0, 0.0, -np.inf)  # log S(c, t) up to 120 tables
+    for c in range(1, 3001):
+        with np.errstate(divide="ignore"):
+            row = np.logaddexp(np.r_[-np.inf, row[:-1]], np.log(np.maximum(c - 1 - t * d, 0)) + row)
+        row[0] = -np.inf
+        if c not in (10, 200, 3000):
+            continue
+        weight = row + t * math.log(parent) + np.r_[0, np.cumsum(np.log(theta + d * t[:-1]))]
+        weight = np.exp(weight - weight.max())
+        exact = (t * weight).sum() / weight.sum()
+        n = 2000
+        mean, _ = hpylm.seat(np.full(n, c), np.arange(n), np.zeros(n), np.ones(n), np.full(n, parent), d, theta, sweeps=12, burn=4, seed=c)
+        print(c, mean.mean(), exact)
+        assert abs(mean.mean() - exact) < 0.07 * exact
+
+
 def test_model_beats_base(prose):
     got = [r for r in hpylm.score_texts(prose).collect() if r["held_out"]]
     assert sum(r["score"] for r in got) > sum(r["base_score"] for r in got)

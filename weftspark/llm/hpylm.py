@@ -41,6 +41,7 @@ from weftspark.llm.common import LOWER, delete_path, scratch_path
 from weftspark.llm.sampling import fold
 
 STIRLING = 256  # exact closing probabilities up to so many customers
+PARTIES = 16  # parties in which a dish's customers move in a sweep
 
 
 def packed(*arrays: np.ndarray) -> bytes:
@@ -112,17 +113,26 @@ def seat(c: np.ndarray, group: np.ndarray, fixed: np.ndarray, share: np.ndarray,
         new = (theta + d * tables()[group]) * parent
         t = np.minimum(t + rng.binomial(come, new / (new + np.maximum(seen - d * t, 1e-9))), seen + come)
         seen += come
+    for _ in range(4):  # parties open too many tables: start with no more than keep the balance below
+        t = np.minimum(t, np.maximum(1, np.rint(1 + (theta + d * tables()[group]) * parent / d)).astype(np.int64))
     alone = closing_table(d)
+    steps = np.minimum(c, PARTIES)
     total, kept = np.zeros(len(c)), 0
     for k in range(sweeps):
-        inside = c <= STIRLING
-        leave = np.where(inside, alone[np.where(inside, c, 1), np.where(inside, t, 1)], np.minimum(1.0, d * t / c))
-        closes = (rng.random(len(c)) < leave) & (t > 1)
-        # all dishes move at once; each sees the others as they stood
-        new = (theta + d * (tables()[group] - closes)) * parent
-        t = t - closes
-        opens = rng.random(len(c)) < new / (new + np.maximum(c - 1 - d * t, 1e-9))
-        t = np.minimum(t + opens, c)
+        # as many moves as customers: one by one up to PARTIES of them, else in so many parties
+        for j in range(int(steps.max(initial=0))):
+            on = np.flatnonzero(steps > j)
+            n, now = c[on], t[on]
+            party = n * (j + 1) // steps[on] - n * j // steps[on]
+            inside = n <= STIRLING
+            # S(c-1,t-1)/S(c,t) goes to d (t-1) / (c-1) as c grows
+            leave = np.where(inside, alone[np.where(inside, n, 1), np.where(inside, now, 1)], d * (now - 1) / (n - 1))
+            closes = np.minimum(rng.binomial(party, np.clip(leave, 0, 1)), now - 1)
+            # all dishes move at once; each sees the others as they stood
+            single = np.where(party == 1, closes, 0)
+            new = (theta + d * (tables()[group[on]] - single)) * parent[on]
+            stay = np.maximum(n - 1 - d * (now - single), 1e-9)
+            t[on] = np.minimum(now - closes + rng.binomial(party, new / (new + stay)), n)
         if k >= burn:
             total += t
             kept += 1
