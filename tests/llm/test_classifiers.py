@@ -187,6 +187,20 @@ def test_viterbi_finds_the_best_path(insults):
         assert abs(max(score(t, c) for t, c in readings(token) if t == got) - best[0]) < 1e-9
 
 
+def restorer():
+    rng = random.Random(6)
+    pool = "the of a house river tree stone and with such man you are idiot stupid loser moron".split()
+    counts = toxicity.trigram_counts([" ".join(rng.choices(pool, k=40)) for _ in range(500)]).reshape((toxicity.SIGNS,) * 3) + 0.01
+    return toxicity.Restorer(np.log(counts / counts.sum(axis=2, keepdims=True)))
+
+
+def test_hidden_words_of_any_length():
+    hidden = restorer()
+    assert hidden.words("s" + "." * 80 + "t.u.p.i.d") == {"stupid"}
+    assert max(map(len, hidden.words(" ".join("stupid" * 20)))) > 64
+    assert len(toxicity.decode("s" + "t" * 20_000 + "upid", hidden.model)) < 100
+
+
 def test_toxicity_of_awkward_texts(insults, awkward, nothing):
     docs, labels = insults
     model = toxicity.fit(docs, labels)

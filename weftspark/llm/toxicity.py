@@ -91,7 +91,8 @@ def suspicious(token: str) -> bool:
 
 def decode(token: str, model: np.ndarray, *, imitate: float = -1.0, keep: float = -4.0, drop: float = -0.3, again: float = -0.2) -> str:
     """The likeliest letters behind a token. States are the last two signs; each keeps its best path."""
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    # a path is its last letter and the path before it, so that long tokens copy nothing
+    states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     last = ""
     for c in token:
         if c.isalpha():
@@ -99,19 +100,24 @@ def decode(token: str, model: np.ndarray, *, imitate: float = -1.0, keep: float
         else:
             options = [(x, imitate) for x in LEET.get(c, "")] or [(c, keep)]
         silent = drop if c in SEPARATORS else again if c == last else None
-        new: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (score, text) in states.items():
+        new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        for (a, b), (score, path) in states.items():
             for x, cost in options:
                 s = sign(x)
                 value = score + cost + model[a, b, s]
                 if (b, s) not in new or value > new[b, s][0]:
-                    new[b, s] = (value, text + x)
-            if silent is not None and text:
+                    new[b, s] = (value, (path, x))
+            if silent is not None and path:
                 value = score + silent
                 if (a, b) not in new or value > new[a, b][0]:
-                    new[a, b] = (value, text)
+                    new[a, b] = (value, path)
         states, last = new, c
-    return max((score + model[a, b, 0], text) for (a, b), (score, text) in states.items())[1]
+    path = max(((score + model[a, b, 0], path) for (a, b), (score, path) in states.items()), key=lambda x: x[0])[1]
+    out = []
+    while path:
+        path, x = path
+        out.append(x)
+    return "".join(reversed(out))
 
 
 class Restorer:
@@ -124,7 +130,7 @@ class Restorer:
     def _restore(self, token: str) -> str:
         bare = token.strip(EDGE)
         bare = bare if suspicious(bare) else bare.strip("$+")
-        if len(bare) > 64 or not suspicious(bare):
+        if not suspicious(bare):
             return bare
         return decode(bare, self.model)
 
@@ -150,7 +156,7 @@ class Restorer:
             if len(t) == 1 and (t.isalpha() or t in LEET):
                 now += t
                 continue
-            if 3 <= len(now) <= 64:
+            if len(now) >= 3:
                 found.add(decode(now, self.model) if suspicious(now) else now)
             now = ""
         return found
