@@ -85,6 +85,16 @@ def test_circles_are_marked(spark):
     assert not got[1, "call", "a"]["valid"]
 
 
+def test_chains_longer_than_the_rounds_are_no_circles(spark):
+    """c0 waits for c1, c1 for c2 and so on, against arrival; a and b wait for each other, z for a."""
+    rows = [event(1, k, "call", f"c{k}", '{"a":1}', deps=[f"c{k + 1}"] if k < 6 else None) for k in range(7)]
+    rows += [event(1, 10, "call", "a", "{}", deps=["b"]), event(1, 11, "call", "b", "{}", deps=["a"]), event(1, 12, "call", "z", "{}", deps=["a"])]
+    got = {r["call_id"]: r for r in toolchat.link(frame(spark, rows), max_rounds=3).collect()}
+    assert {c for c in got if got[c]["status"] == "cycle"} == {"a", "b", "z"}
+    places = [got[f"c{k}"]["c"] for k in range(7)]
+    assert places == sorted(places, reverse=True) and len(set(places)) == 7
+
+
 def test_schemas_and_canonical_json():
     schema = {"type": "object", "properties": {"l": {"type": "array", "items": {"type": "string", "maxLength": 2}, "minItems": 1}, "e": {"enum": [1, "x", None]}, "t": {"type": ["integer", "null"]}}, "additionalProperties": {"type": "boolean"}}
     assert toolchat.violations({"l": ["ab"], "e": "x", "t": None, "z": True}, schema) == []

@@ -92,12 +92,24 @@ def _once(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.groupBy("conv_id", "call_id").agg(first, F.count("*").alias("copies")).select("conv_id", "call_id", "x.*", "copies")
 
 
+def _circles(waits: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(conv_id, call_id) that never run out of calls to wait for, found by peeling off those that do."""
+    dep = pairs.select("conv_id", F.col("call_id").alias("dep"))
+    left = materialise(waits.join(dep, ["conv_id", "dep"], "left_semi").select("conv_id", "call_id", "dep"), "peel")
+    before, now = None, left.count()
+    while now and now != before:
+        held = left.select("conv_id", F.col("call_id").alias("dep")).distinct()
+        left = materialise(left.join(held, ["conv_id", "dep"], "left_semi").select("conv_id", "call_id", "dep"), "peel")
+        before, now = now, left.count()
+    return left.select("conv_id", "call_id").distinct()
+
+
 def link(events: DataFrame, *, max_rounds: int = 100) -> DataFrame:
     """One row per call id of a conversation: its call, its result, both places in the order, the status.
 
-    status: linked, unanswered (no result), orphan (no call), cycle (still
-    moving late in max_rounds rounds: in or behind a circle of dependencies, or at the end of a
-    longer chain against arrival).
+    status: linked, unanswered (no result), orphan (no call), cycle (in or behind a
+    circle of dependencies). Circles are looked for once places still move after
+    max_rounds rounds; all other calls move on until they are settled.
     """
     known = events.filter("call_id IS NOT NULL AND conv_id IS NOT NULL")
     calls = _once(known.filter("kind = 'call'"), ["name", "arguments", "role", "depends_on"]).withColumnsRenamed({"at": "call_at", "role": "call_role", "copies": "call_copies"})
@@ -106,9 +118,13 @@ def link(events: DataFrame, *, max_rounds: int = 100) -> DataFrame:
     waits = pairs.select("conv_id", "call_id", F.explode(F.array_distinct("depends_on")).alias("dep")).filter("dep IS NOT NULL")
     state = pairs.select("conv_id", "call_id", F.struct(F.coalesce("call_at", "result_at").alias("turn"), F.lit(0).alias("step")).alias("c"), "call_at", "result_at")
     state = state.withColumn("moved_at", F.lit(0))
-    settled = True
-    has = not waits.isEmpty()
-    for k in range(1, max_rounds + 1 if has else 1):
+    settled = waits.isEmpty()
+    circle, k = None, 0
+    while not settled:
+        if k == max_rounds:
+            circle = _circles(waits, pairs)
+            waits = materialise(waits.join(circle, ["conv_id", "call_id"], "left_anti"), "waits")
+        k += 1
         # where a call's result stands; without one, where the call stands
         after = F.struct(F.col("c.turn"), (F.col("c.step") + 1).alias("step"))
         done = F.when(F.col("call_at").isNull() | F.col("result_at").isNull(), F.col("c")).otherwise(F.greatest(F.struct(F.col("result_at").alias("turn"), F.lit(0).alias("step")), after))
@@ -118,11 +134,11 @@ def link(events: DataFrame, *, max_rounds: int = 100) -> DataFrame:
         moved = F.col("new") != F.col("c")
         state = materialise(grown.select("conv_id", "call_id", F.col("new").alias("c"), "call_at", "result_at", F.when(moved, k).otherwise(F.col("moved_at")).alias("moved_at")), "order")
         settled = state.filter(F.col("moved_at") == k).isEmpty()
-        if settled:
-            break
-    # what goes round a circle of up to half the rounds has moved in the later half
-    circle = state.filter(F.lit(not settled) & (F.col("moved_at") > max_rounds // 2)).select("conv_id", "call_id").withColumn("circle", F.lit(True))
-    place = state.select("conv_id", "call_id", "c").join(circle, ["conv_id", "call_id"], "left")
+    place = state.select("conv_id", "call_id", "c")
+    if circle is None:
+        place = place.withColumn("circle", F.lit(False))
+    else:
+        place = place.join(circle.withColumn("circle", F.lit(True)), ["conv_id", "call_id"], "left")
     own = F.struct(F.col("result_at").alias("turn"), F.lit(0).alias("step"))
     result = F.when(F.col("call_at").isNull(), own).otherwise(F.greatest(own, F.struct(F.col("c.turn"), (F.col("c.step") + 1).alias("step"))))
     status = F.when(F.col("circle"), "cycle").when(F.col("call_at").isNull(), "orphan").when(F.col("result_at").isNull(), "unanswered").otherwise("linked")
