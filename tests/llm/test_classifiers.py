@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from weftspark.llm import langid, puquality, toxicity
-from weftspark.llm.sampling import bounded, fold
+from weftspark.llm.sampling import below, bounded, chosen, fold
 
 from .conftest import rows_of
 
@@ -23,6 +23,16 @@ def test_bounded_sample_is_bounded_and_repeats(spark):
     assert bounded(df.limit(0), "y", "id", 300).count() == 0
 
 
+def test_sample_of_any_share(spark):
+    """1500 of 10^10 rows: the limit must neither be out of reach nor let too many through."""
+    assert below(10, 10) is None and below(10, 3) is None
+    for most, n in ((1500, 10**10), (8000, 10**15), (1, 3), (4000, 4001)):
+        assert abs((below(most, n) + (1 << 63)) / 2**64 - most / n) <= 2**-53
+    ids = spark.range(400_000)
+    assert 150 < ids.filter(chosen("id", below(200, 400_000))).count() < 250
+    assert 400_000 * 1500 / 10**10 < 1 and ids.filter(chosen("id", below(1500, 10**10))).count() <= 2
+
+
 # ---- language
 
 

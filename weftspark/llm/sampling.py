@@ -5,17 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-GRAIN = 1_000_000
-
 
 def fold(id_col: str, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as the text 'null'."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).cast("binary")) % n
 
 
-def spread(id_col: str, salt: int = 0) -> Column:
-    """A number from 0 to GRAIN - 1 that depends on the id alone."""
-    return F.pmod(F.xxhash64(F.col(id_col), F.lit(salt)), F.lit(GRAIN))
+def below(most: int, n: int) -> int | None:
+    """The signed 64-bit number under which most of n evenly spread hashes lie; None for all of them."""
+    return None if n <= most else (most << 64) // n - (1 << 63)
+
+
+def chosen(id_col: str, limit: int | None) -> Column:
+    """Whether the id's hash lies under the limit; all 64 bits count, so a share of any size is met."""
+    return F.lit(True) if limit is None else F.xxhash64(F.col(id_col), F.lit(0)) < F.lit(limit)
 
 
 def bounded(rows: DataFrame, by: str, id_col: str, most: int) -> DataFrame:
@@ -28,10 +31,10 @@ def bounded(rows: DataFrame, by: str, id_col: str, most: int) -> DataFrame:
     counts = {r[0]: r[1] for r in rows.groupBy(by).count().collect()}
     if not counts:
         return rows.limit(0)
-    limit = F.lit(0)
+    wanted = F.lit(False)
     for value, n in counts.items():
-        limit = F.when(F.col(by) == F.lit(value), F.lit(min(GRAIN, GRAIN * most // n))).otherwise(limit)
-    return rows.filter(spread(id_col) < limit)
+        wanted = F.when(F.col(by) == F.lit(value), chosen(id_col, below(most, n))).otherwise(wanted)
+    return rows.filter(wanted)
 
 
 def windows(text: str, id_col: str, n: int, width: int) -> Column:
