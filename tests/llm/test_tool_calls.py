@@ -109,3 +109,32 @@ def test_nothing_and_long_text(spark):
     long = "x" * 300_000
     got = toolchat.serialise(frame(spark, [event(1, 0, "message", content=long)] * 3), TOOLS).collect()
     assert len(got) == 3 and all(long in r["json"] for r in got)
+
+
+def test_every_keyword_counts_or_is_refused(spark):
+    ok, bad = lambda v, s: toolchat.violations(v, s) == [], lambda v, s: toolchat.violations(v, s) != []
+    assert ok("ab1", {"pattern": r"\d$"}) and bad("ab", {"pattern": r"\d$"})
+    assert ok(1.0, {"const": 1}) and bad(True, {"const": 1}) and bad([True], {"enum": [[1]]})
+    assert ok(3, {"anyOf": [{"type": "string"}, {"minimum": 2}]}) and bad(1, {"anyOf": [{"type": "string"}, {"minimum": 2}]})
+    assert ok(3, {"oneOf": [{"minimum": 2}, {"minimum": 5}]}) and bad(6, {"oneOf": [{"minimum": 2}, {"minimum": 5}]})
+    assert bad(3, {"not": {"type": "integer"}}) and bad(3, {"allOf": [{"maximum": 2}]}) and bad({"x": 1}, {"additionalProperties": {"type": "string"}})
+    assert ok(0.3, {"multipleOf": 0.1}) and bad(0.25, {"multipleOf": 0.1}) and bad(2, {"exclusiveMinimum": 2}) and bad(2, {"exclusiveMaximum": 2})
+    assert bad([1, 1.0], {"uniqueItems": True}) and ok([1, "1"], {"uniqueItems": True}) and bad({}, {"minProperties": 1}) and bad([1], {"items": False})
+    for schema in ({"type": "number", "$ref": "#/x"}, {"type": "text"}, {"properties": {"a": {"type": ["int"]}}}, {"items": {"if": {}}}):
+        with pytest.raises(ValueError):
+            toolchat.serialise(frame(spark, []), {"add": schema})
+
+
+def test_half_surrogate_pairs_are_no_text(spark):
+    got = by_key(toolchat.serialise(frame(spark, [event(1, 0, "call", "a", '{"a":"\\ud800"}'), event(1, 1, "call", "b", '{"a":1,"\\udc00":2}'), event(1, 2, "call", "c", '{"a":"\\ud83d\\ude42"}')]), TOOLS))
+    assert got[1, "call", "a"]["errors"] == got[1, "call", "b"]["errors"] == ["$: not JSON"]
+    assert json.loads(got[1, "call", "a"]["json"])["arguments"] == '{"a":"\\ud800"}'
+    assert "🙂" in got[1, "call", "c"]["json"] and got[1, "call", "c"]["errors"] == ["$.a: not integer"]
+
+
+def test_long_chains_against_arrival(spark):
+    """A place that moves often keeps its last value, past the point where places are put together."""
+    rows = [event(1, k, "call", f"c{k}", '{"a":1}', deps=[f"c{k + 1}"] if k < 19 else None) for k in range(20)]
+    got = {r["call_id"]: r["c"] for r in toolchat.link(frame(spark, rows)).collect()}
+    places = [got[f"c{k}"] for k in range(20)]
+    assert places == sorted(places, reverse=True) and len(set(places)) == 20 and places[19] == (19, 0)
