@@ -207,10 +207,61 @@ def restorer():
 def test_hidden_words_of_any_length():
     hidden = restorer()
     assert hidden.words("s" + "." * 80 + "t.u.p.i.d") == {"stupid"}
-    assert max(map(len, hidden.words(" ".join("stupid" * 20)))) > 64
+    assert "stupid" in hidden.words(" ".join("stupid" * 20))
     assert len(toxicity.decode("s" + "t" * 20_000 + "upid", hidden.model)) < 100
 
 
+def test_gaps_end_words_or_do_not():
+    hidden = restorer()
+    assert {"stupid", "man"} <= hidden.words("such a s t u p i d man") and "astupid" not in hidden.words("such a s t u p i d man")
+    assert {"you", "idiot"} <= hidden.words("y o u i d i o t")
+    assert "idiot" in hidden.words("a n i d 1 0 t") and "stupid" in hidden.words("st up id") and "stupid" in hidden.words("s t u u u p i d")
+    # every way to end words or not, against the search
+    for run in ("a s t u", "y o u i", "of a id", "m a n 1 s"):
+        pieces, best = run.split(" "), (-1e9, "")
+        for mask in range(1 << (len(pieces) - 1)):
+            gaps = [" " if mask >> k & 1 else "" for k in range(len(pieces) - 1)]
+            for x in "il" if "1" in run else "-":
+                text = "".join(p + g for p, g in zip(pieces, [*gaps, ""])).replace("1", x)
+                s = [0, 0, *map(toxicity.sign, text), 0]
+                cost = sum(hidden.model[a, b, c] for a, b, c in zip(s, s[1:], s[2:])) - 0.3 * len(gaps) - ("1" in run)
+                best = max(best, (cost, text))
+        assert toxicity.decode(run, hidden.model) == best[1]
+
+
+def test_suspicion_takes_linear_time():
+    import re
+    import time
+
+    old = re.compile(r"[^\W\d_].*?[0-9@$!|+(<€¡.\-_*~,'’`/\\^:;=#]|[0-9@$!|+(<€¡].*?[^\W\d_]|([^\W\d_])\1\1")
+    rng = random.Random(1)
+    for _ in range(20_000):
+        token = "".join(rng.choice("ab_1$.-é²#]") for _ in range(rng.randint(0, 7)))
+        assert toxicity.suspicious(token) == bool(old.search(token)), token
+    began = time.time()
+    assert not toxicity.suspicious("ab" * 500_000) and not toxicity.suspicious("1" * 500_000 + "#" * 500_000) and not toxicity.suspicious("#" * 500_000 + "]a]" + "]" * 500_000)
+    assert time.time() - began < 2
+    hidden = restorer()
+    hidden.words("ab" * 500_000 + " " + "日本語" * 100_000)
+    assert sum(map(len, hidden.known)) < 1000 and time.time() - began < 20
+
+
+def test_models_do_not_share_a_scorer(insults):
+    one = toxicity.fit(*insults)
+    two = toxicity.ToxicModel(one.characters, {k: v + 1 for k, v in one.weights.items()}, one.bias)
+    a, b = ({r["doc_id"]: r["score"] for r in toxicity.judge(insults[0], m).collect()} for m in (one, two))
+    assert all(b[k] >= a[k] for k in a) and any(b[k] > a[k] + 1e-6 for k in a)
+
+
+def test_toxic_labels_of_the_held_out_fold(spark, insults):
+    """Accuracy on rows whose labels were never read."""
+    docs, labels = insults
+    got = toxicity.judge(docs, toxicity.fit(docs, labels)).filter(fold("doc_id", 3) == 1).collect()
+    assert len(got) > 100 and np.mean([r["predicted"] == int(r["doc_id"] % 3 == 0) for r in got]) > 0.97
+    lies = labels.selectExpr("doc_id", "CASE WHEN crc32(cast(doc_id AS string)) % 3 = 1 THEN 1 - toxic ELSE toxic END AS toxic")
+    assert toxicity.fit(docs, lies).name() == toxicity.fit(docs, labels).name()
+
+
 def test_toxicity_of_awkward_texts(insults, awkward, nothing):
     docs, labels = insults
     model = toxicity.fit(docs, labels)

@@ -41,23 +41,31 @@ _LETTERS = _byte_letters()
 
 
 class _Generations(dict):
-    """A cache that forgets what was not used lately: at the limit, the older half goes."""
+    """A cache that forgets what was not used lately: at the limit, the older half goes.
 
-    def __init__(self, make, limit: int):
+    The limit is of entries and of characters (80 for each entry); keys of more than
+    `longest` characters are worked out each time, so unspaced scripts cannot fill the memory.
+    """
+
+    def __init__(self, make, limit: int, longest: int = 1000):
         super().__init__()
-        self.make, self.limit, self.older = make, limit, {}
+        self.make, self.limit, self.longest, self.size, self.older = make, limit, longest, 0, {}
 
     def __missing__(self, key: str):
         value = self.older.get(key, self)
         if value is self:
             value = self.make(key)
+            if len(key) > self.longest:
+                return value
         self[key] = value
+        self.size += len(key)
         return value
 
     def age(self) -> None:
-        if len(self) > self.limit:
+        if len(self) > self.limit or self.size > 80 * self.limit:
             self.older = dict(self)
             self.clear()
+            self.size = 0
 
 
 class WordEncoder:

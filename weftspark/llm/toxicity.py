@@ -3,8 +3,8 @@
 Writers hide words by leetspeak, by spacing letters out and by repeating them. A
 suspicious token becomes a lattice: each character stands for itself, for the
 letters it imitates, or, as a separator or a repetition, for nothing. A Viterbi
-search under a character trigram model of the corpus picks the letters; the
-restored text is then scored by a logistic model over words and word beginnings.
+search under a character trigram model of the corpus picks the letters, and in
+runs of short pieces the gaps that end a word; the restored text is then scored by a logistic model over words and word beginnings.
 
 The character model counts all texts (at most 28^3 sums leave a task). Labels are
 learned from a bounded sample. Documents are not shuffled; plain words skip the
@@ -13,6 +13,7 @@ search, and each distinct token is decoded once per worker.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections.abc import Iterator
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftspark.llm.common import small
+from weftspark.llm.common import materialise, small
 from weftspark.llm.sampling import bounded, fold
 from weftspark.llm.tokens import _Generations
 
@@ -33,7 +34,9 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb",
 SEPARATORS = ".-_*~,'’`/\\^:;=#"
 SIGNS = 28  # 0 blank, 1-26 a-z, 27 any other letter
 EDGE = "".join(sorted(set(SEPARATORS) | set("!¡?\"%&|>)]}[{(<“”«»")))
-_MIXED = re.compile(r"[^\W\d_].*?[0-9@$!|+(<€¡.\-_*~,'’`/\\^:;=#]|[0-9@$!|+(<€¡].*?[^\W\d_]")
+_ALPHA = re.compile(r"[^\W\d_]")
+_LEET = re.compile(r"[0-9@$!|+(<€¡]")
+_SIGN = re.compile(r"[0-9@$!|+(<€¡.\-_*~,'’`/\\^:;=#]")
 _TRIPLE = re.compile(r"([^\W\d_])\1\1")
 
 
@@ -85,21 +88,33 @@ def character_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
 
 def suspicious(token: str) -> bool:
-    """Letters mixed with leet signs or separators, or a letter three times in a row."""
-    return bool(_MIXED.search(token) or _TRIPLE.search(token))
+    """A letter with a sign or separator behind it, a leet sign with a letter behind it, or a letter three times in a row."""
+    if not token.isalpha() and (first := _ALPHA.search(token)):
+        back = token[::-1]
+        sign_, leet = _SIGN.search(back), _LEET.search(token)
+        if sign_ and len(token) - 1 - sign_.start() > first.start():
+            return True
+        if leet and leet.start() < len(token) - 1 - _ALPHA.search(back).start():
+            return True
+    return bool(_TRIPLE.search(token))
 
 
-def decode(token: str, model: np.ndarray, *, imitate: float = -1.0, keep: float = -4.0, drop: float = -0.3, again: float = -0.2) -> str:
-    """The likeliest letters behind a token. States are the last two signs; each keeps its best path."""
+def decode(token: str, model: np.ndarray, *, imitate: float = -1.0, keep: float = -4.0, drop: float = -0.3, again: float = -0.2, join: float = -0.3, split: float = -0.3) -> str:
+    """The likeliest letters behind a token. States are the last two signs; each keeps its best path.
+
+    A blank in the token is a gap between pieces, which may be nothing (join) or a word's end (split).
+    """
     # a path is its last letter and the path before it, so that long tokens copy nothing
     states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     last = ""
     for c in token:
         if c.isalpha():
             options = [(c, 0.0)]
+        elif c == " ":
+            options = [(c, split)]
         else:
             options = [(x, imitate) for x in LEET.get(c, "")] or [(c, keep)]
-        silent = drop if c in SEPARATORS else again if c == last else None
+        silent = join if c == " " else drop if c in SEPARATORS else again if c == last else None
         new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         for (a, b), (score, path) in states.items():
             for x, cost in options:
@@ -111,7 +126,7 @@ def decode(token: str, model: np.ndarray, *, imitate: float = -1.0, keep: float
                 value = score + silent
                 if (a, b) not in new or value > new[a, b][0]:
                     new[a, b] = (value, path)
-        states, last = new, c
+        states, last = new, last if c == " " else c
     path = max(((score + model[a, b, 0], path) for (a, b), (score, path) in states.items()), key=lambda x: x[0])[1]
     out = []
     while path:
@@ -126,6 +141,7 @@ class Restorer:
     def __init__(self, model: np.ndarray, limit: int = 400_000):
         self.model = model
         self.known = _Generations(self._restore, limit)
+        self.runs = _Generations(self._spaced, limit // 4)
 
     def _restore(self, token: str) -> str:
         bare = token.strip(EDGE)
@@ -135,7 +151,7 @@ class Restorer:
         return decode(bare, self.model)
 
     def words(self, text: str | None) -> set[str]:
-        """Distinct restored words; runs of three or more single letters also as one word."""
+        """Distinct restored words, and those put together from runs of three or more pieces of one or two characters."""
         if not text:
             return set()
         tokens = text.lower().split()
@@ -145,21 +161,16 @@ class Restorer:
             edges = np.flatnonzero(np.diff(np.r_[0, short.view(np.int8), 0]))
             for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
                 if b - a >= 3:
-                    run = [t.strip(EDGE) or t for t in tokens[a:b]]
-                    out |= self._spaced(run)
+                    out |= self.runs[" ".join(tokens[a:b])]
         self.known.age()
+        self.runs.age()
         return out
 
-    def _spaced(self, run: list[str]) -> set[str]:
-        found, now = set(), ""
-        for t in [*run, ".."]:
-            if len(t) == 1 and (t.isalpha() or t in LEET):
-                now += t
-                continue
-            if len(now) >= 3:
-                found.add(decode(now, self.model) if suspicious(now) else now)
-            now = ""
-        return found
+    def _spaced(self, run: str) -> frozenset[str]:
+        """Words of three letters or more on the run's best path; each gap is nothing or a word's end."""
+        pieces = [t.strip(EDGE) or t for t in run.split(" ")]
+        found = decode(" ".join(pieces), self.model).split(" ")
+        return frozenset(w for w in found if len(w) >= 3)
 
 
 def features(word: str) -> list[int]:
@@ -178,6 +189,10 @@ class ToxicModel:
     weights: dict[int, float] = field(default_factory=dict)
     bias: float = 0.0
 
+    def name(self) -> str:
+        """Tells models apart."""
+        return hashlib.sha256(self.characters.tobytes() + repr((self.bias, sorted(self.weights.items()))).encode()).hexdigest()
+
     def scorer(self) -> "Scorer":
         return Scorer(self)
 
@@ -194,7 +209,7 @@ class Scorer:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, total))))
 
 
-_SCORERS: dict[bytes, Scorer] = {}
+_SCORERS: dict[str, Scorer] = {}
 
 
 def _train(rows: list[np.ndarray], truth: np.ndarray, *, least: int, epochs: int, decay: float, seed: int) -> tuple[dict[int, float], float]:
@@ -230,10 +245,13 @@ def _train(rows: list[np.ndarray], truth: np.ndarray, *, least: int, epochs: int
     return dict(zip(known[strong].tolist(), w[strong].tolist(), strict=True)), float(bias)
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 3, held_fold: int = 1, max_per_label: int = 2500, least: int = 4, epochs: int = 25, decay: float = 1e-4, seed: int = 11) -> ToxicModel:
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 3, held_fold: int = 1, max_per_label: int = 2500, least: int = 4, lift: float = 1.5, max_features: int = 20_000, epochs: int = 25, decay: float = 1e-4, seed: int = 11) -> ToxicModel:
     """Character model of all texts; word weights from at most max_per_label texts of each label.
 
-    Labels of the held-out fold are never read. With one label only, or none, there
+    Weights are never negative, so only features that occur in `least` sampled texts or more and
+    `lift` times as often in toxic ones as in others can matter; these, max_features at
+    most, are found by an aggregate, and only they come to the driver. Labels of the
+    held-out fold are never read. With one label only, or none, there
     are no weights and scores are the share of toxic ones (0.5 if there are none).
     """
     characters = character_model(docs, text_col)
@@ -243,18 +261,31 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(characters)
         for batch in small(batches):
-            out = [np.unique(np.array([f for w in restorer.words(t) for f in features(w)], np.uint64)).tobytes() for t in batch.column(2).to_pylist()]
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["id", "y", "x"])
+            out = [np.unique(np.array([f for w in restorer.words(t) for f in features(w)], np.uint64)).view(np.int64) for t in batch.column(2).to_pylist()]
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int64()))], names=["id", "y", "x"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    got = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted, "id").select("id", "y", "text").mapInArrow(run, f"id {kind}, y int, x binary").dropDuplicates(["id", "y"]).collect()
-    got.sort(key=lambda r: (r["id"], r["y"], bytes(r["x"])))
-    truth = np.array([r["y"] for r in got], np.float64)
-    if not len(got):
+    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted, "id").select("id", "y", "text").mapInArrow(run, f"id {kind}, y int, x array<long>")
+    # of rows that repeat an id, the one of the smallest features
+    found = materialise(found.groupBy("id", "y").agg(F.min("x").alias("x")), "toxic")
+    counts = {r["y"]: r["count"] for r in found.groupBy("y").count().collect()}
+    if not counts:
         return ToxicModel(characters)
-    share = float(truth.mean())
-    if share in (0.0, 1.0):
-        return ToxicModel(characters, {}, 4.0 * (2 * share - 1))
+    if len(counts) == 1:
+        return ToxicModel(characters, {}, 4.0 if 1 in counts else -4.0)
+    share = F.col("bad") / F.lit(counts[1]) - F.lit(lift) * (F.col("n") - F.col("bad")) / F.lit(counts[0])
+    each = found.select("y", F.explode("x").alias("f")).groupBy("f").agg(F.sum("y").alias("bad"), F.count("*").alias("n"))
+    telling = sorted(r["f"] for r in each.filter(F.col("n") >= least).filter(share > 0).orderBy(share.desc(), "f").limit(max_features).select("f").collect())
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        these = np.array(telling, np.int64)
+        for batch in small(batches):
+            out = [np.intersect1d(np.array(x, np.int64), these).tobytes() for x in batch.column(2).to_pylist()]
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["id", "y", "x"])
+
+    got = found.mapInArrow(told, f"id {kind}, y int, x binary").collect()
+    got.sort(key=lambda r: (r["id"], r["y"]))
+    truth = np.array([r["y"] for r in got], np.float64)
     weights, bias = _train([np.frombuffer(r["x"], np.uint64) for r in got], truth, least=least, epochs=epochs, decay=decay, seed=seed)
     return ToxicModel(characters, weights, bias)
 
@@ -262,17 +293,17 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
 def judge(docs: DataFrame, model: ToxicModel, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
     """id, score (0 to 1), predicted (1 from threshold on) for every row.
 
-    Null and empty texts have the score of a text without words. Repeated rows
+    Null and empty texts have the score of a text without words. Texts and words
+    of any length are read in time that grows with their length alone. Repeated rows
     give equal results; other columns are ignored; an empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the training sample
+    key = model.name()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine = shared.value
-        key = mine.characters.tobytes()[:4096] + repr((mine.bias, len(mine.weights))).encode()
         if key not in _SCORERS:
             _SCORERS.clear()
-            _SCORERS[key] = mine.scorer()
+            _SCORERS[key] = shared.value.scorer()
         scorer = _SCORERS[key]
         for batch in small(batches):
             s = np.array([scorer.score(t) for t in batch.column(1).to_pylist()], np.float64)
