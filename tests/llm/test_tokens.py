@@ -103,12 +103,12 @@ def test_pack_is_valid_and_near_the_bound():
 def test_swaps_empty_a_bin():
     # best fit leaves three bins of (6,3), (5,4), (1,1): 20 in two bins of 10 needs exchanges
     lengths = [6, 3, 5, 4, 1, 1]
-    bins = packing._Search(lengths, [[0, 1], [2, 3], [4, 5]], 10).run(2, 50)
-    assert len(bins) == 2
+    bins = packing._Search(lengths, [[0, 1], [2, 3], [4, 5]], 10).run(2)
+    assert len(bins) == 2 and sorted(n for b in bins for n in b.elements()) == sorted(lengths)
     search = packing._Search([7, 5, 5, 3], [[0], [1], [2], [3]], 10)
     before = sum(f * f for f in search.fill.values())
-    bins = search.run(2, 50)
-    assert sum(sum([7, 5, 5, 3][k] for k in b) ** 2 for b in bins) > before and len(bins) == 2
+    bins = search.run(2)
+    assert sum(sum(b.elements()) ** 2 for b in bins) > before and len(bins) == 2
 
 
 def test_two_for_one():
@@ -117,6 +117,26 @@ def test_two_for_one():
     assert max(search.fill.values()) == 11
 
 
+def test_a_donor_that_gives_nothing_is_passed_over():
+    # the emptiest bin (7) fits nowhere; 4 + 4 and 3 + 3 still go together
+    lengths = [7, 4, 4, 4, 3, 3]
+    bins = packing._Search(lengths, [[0], [1, 2], [3], [4, 5]], 11).run(1)
+    assert len(bins) == 3
+
+
+def test_two_for_one_with_many_kinds_of_pieces():
+    """The donor's only fitting pair lies behind 100 other lengths."""
+    donor = [*range(900, 1000), 300, 301]
+    search = packing._Search([600, 1446, *donor], [[0, 1], list(range(2, 2 + len(donor)))], 2047)
+    assert search._step(0, 1) and search.fill[0] == 2047
+
+
+def test_search_saves_bins_that_best_fit_needs():
+    rng = random.Random(1)
+    lengths = [rng.randint(500, 800) for _ in range(1500)]
+    assert len(packing.pack(lengths, 2048)) < 0.98 * len(packing.best_fit(lengths, 2048))
+
+
 @pytest.mark.parametrize("window", [200, 1 << 22])
 def test_packed_documents(awkward, window):
     limit = 64

@@ -3,14 +3,16 @@
 Each task encodes its documents, cuts the ones over the limit, and packs bounded
 windows of pieces: best-fit decreasing first, then a local search that moves one
 piece, exchanges one for one, or two for one between underfull bins, always
-raising the squared fill, until a bin empties or the lower bound is met.
-Underfull bins are then opened again: their pieces go to a second round over few
-tasks, so a window's waste does not stay. Both rounds are written to the shared
+raising the squared fill, until the lower bound is met or no step is left.
+Underfull bins, and all bins with room where a window missed its lower bound, are
+then opened again: their pieces go to a second round over few tasks, so a
+window's waste does not stay. Both rounds are written to the shared
 folder, which fixes what is in which sequence before anything else reads it.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,99 +52,130 @@ def best_fit(lengths: list[int], limit: int) -> list[list[int]]:
 
 
 class _Search:
-    """Local search over underfull bins. Every step raises the sum of squared fills."""
+    """Local search over underfull bins. Every step raises the sum of squared fills, so it ends.
+
+    Only lengths matter, so bins are kept as counts of lengths, and bins of equal
+    content stand for each other.
+    """
 
     def __init__(self, lengths: list[int], bins: list[list[int]], limit: int):
-        self.lengths, self.limit = lengths, limit
-        self.bins = {b: set(x) for b, x in enumerate(bins)}
-        self.fill = {b: sum(lengths[k] for k in x) for b, x in self.bins.items()}
-
-    def run(self, floor: int, rounds: int) -> list[list[int]]:
-        """Empties the least full bins into the others until there are `floor` bins or nothing helps."""
-        for _ in range(rounds):
-            if len(self.bins) <= floor:
-                break
-            open_ = [b for b in self.bins if self.fill[b] < self.limit]
-            if len(open_) < 2:
-                break
-            donor = min(open_, key=lambda b: (self.fill[b], b))
-            takers = sorted((b for b in open_ if b != donor), key=lambda b: (-self.fill[b], b))
-            before = self.fill[donor]
-            for taker in takers:
-                while donor in self.bins and self._step(taker, donor):
-                    pass
-                if donor not in self.bins:
-                    break
-            if donor in self.bins and self.fill[donor] == before:
+        self.limit = limit
+        self.bins = {b: Counter(lengths[k] for k in x) for b, x in enumerate(bins)}
+        self.fill = {b: sum(lengths[k] for k in x) for b, x in enumerate(bins)}
+
+    def run(self, floor: int) -> list[Counter]:
+        """Empties bins, the least full first, into the others until there are `floor` bins or nothing helps.
+
+        A donor that gives nothing away is passed over; once no donor does, the search ends.
+        """
+        changed = True
+        while changed and len(self.bins) > floor:
+            changed = False
+            tried = set()
+            for donor in sorted((b for b in self.bins if self.fill[b] < self.limit), key=lambda b: (self.fill[b], b)):
+                content = self._content(donor)
+                if content in tried:
+                    continue
+                if self._give(donor):
+                    changed = True
+                    if len(self.bins) <= floor:
+                        break
+                    tried.clear()
+                else:
+                    tried.add(content)
+        return list(self.bins.values())
+
+    def _content(self, b: int) -> tuple:
+        return tuple(sorted(self.bins[b].items()))
+
+    def _give(self, donor: int) -> bool:
+        """Steps from the donor to all others, the fullest first; whether there was one."""
+        gave, vain = False, set()
+        for taker in sorted((b for b in self.bins if b != donor and self.fill[b] < self.limit), key=lambda b: (-self.fill[b], b)):
+            if self.fill[taker] < self.fill[donor]:
+                break  # from the emptier to the fuller only: that raises the sum of squares
+            content = self._content(taker)
+            if content in vain:
+                continue
+            while donor in self.bins and self._step(taker, donor):
+                gave = True
+                vain.clear()
+            if donor not in self.bins:
                 break
-        return [sorted(x) for x in self.bins.values()]
+            vain.add(self._content(taker))
+        return gave
 
     def _step(self, to: int, of: int) -> bool:
-        """One best change that makes the fuller bin `to` fuller; False if there is none."""
-        room = self.limit - self.fill[to]
+        """The change that makes the fuller bin `to` fullest; False if there is none."""
+        room, own, other = self.limit - self.fill[to], self.bins[to], self.bins[of]
         if not room:
             return False
-        by: dict[int, int] = {}
         have = 0
-        for k in self.bins[of]:
-            by.setdefault(self.lengths[k], k)
-            have |= 1 << self.lengths[k]
+        for n in other:
+            have |= 1 << n
         fits = have & ((2 << room) - 1)
         gain, out, into = 0, (), ()
         if fits:  # a move
             gain = fits.bit_length() - 1
-            out, into = (), (by[gain],)
+            into = (gain,)
         if gain < room:
-            for a in self.bins[to]:  # one for one
-                n = self.lengths[a]
+            for n in own:  # one for one
                 fits = have & ((2 << (n + room)) - 1)
                 best = fits.bit_length() - 1 - n if fits else 0
                 if best > gain:
-                    gain, out, into = best, (a,), (by[n + best],)
+                    gain, out, into = best, (n,), (n + best,)
                     if gain == room:
                         break
         if gain < room:  # one of the fuller bin for two of the other
-            own = list(self.bins[of])[:64]
-            for a in self.bins[to]:
-                n = self.lengths[a]
-                for first in own:
-                    left = n + room - self.lengths[first]
+            for n in own:
+                for first, count in other.items():
+                    left = n + room - first
                     if left <= 0:
                         continue
-                    fits = have & ((2 << left) - 1)
+                    fits = (have if count > 1 else have & ~(1 << first)) & ((2 << left) - 1)
                     if not fits:
                         continue
-                    second = by[fits.bit_length() - 1]
-                    best = self.lengths[first] + self.lengths[second] - n
-                    if second != first and best > gain:
-                        gain, out, into = best, (a,), (first, second)
+                    second = fits.bit_length() - 1
+                    if first + second - n > gain:
+                        gain, out, into = first + second - n, (n,), (first, second)
         if not gain:
             return False
-        for k in into:
-            self.bins[of].remove(k)
-            self.bins[to].add(k)
-        for k in out:
-            self.bins[to].remove(k)
-            self.bins[of].add(k)
+        for source, target, moved in ((other, own, into), (own, other, out)):
+            for n in moved:
+                source[n] -= 1
+                if not source[n]:
+                    del source[n]
+                target[n] += 1
         self.fill[to] += gain
         self.fill[of] -= gain
-        if not self.bins[of]:
+        if not other:
             del self.bins[of], self.fill[of]
         return True
 
 
-def pack(lengths: list[int], limit: int, rounds: int = 200) -> list[list[int]]:
+def pack(lengths: list[int], limit: int) -> list[list[int]]:
     """Bins of places in lengths, none over limit."""
     bins = best_fit(lengths, limit)
     floor = -(-sum(lengths) // limit)
-    return bins if len(bins) <= floor else _Search(lengths, bins, limit).run(floor, rounds)
+    if len(bins) <= floor:
+        return bins
+    places: dict[int, list[int]] = {}
+    for k, n in enumerate(lengths):
+        places.setdefault(n, []).append(k)
+    return [sorted(places[n].pop() for n, count in x.items() for _ in range(count)) for x in _Search(lengths, bins, limit).run(floor)]
 
 
 def _emit(rows: list[tuple], limit: int, number: Iterator[int], reopen: float | None) -> pa.RecordBatch:
-    """Rows (doc_id, piece, start, ids bytes) packed; bins filled below `reopen` stay open."""
+    """Rows (doc_id, piece, start, ids bytes) packed; bins filled below `reopen` stay open.
+
+    Where more bins are needed than the ids would fill, all with any room stay open.
+    """
     lengths = [len(r[3]) // 4 for r in rows]
     out: list[tuple] = []
-    for members in pack(lengths, limit):
+    bins = pack(lengths, limit)
+    if reopen is not None and len(bins) > -(-sum(lengths) // limit):
+        reopen = limit
+    for members in bins:
         fill = sum(lengths[k] for k in members)
         seq, at = next(number), 0
         for k in members:
@@ -170,7 +203,8 @@ def pack_documents(docs: DataFrame, tokenizer_file: str, *, limit: int = 2048, e
 
     Documents longer than limit are cut into pieces of limit ids, the last may be
     shorter; all others stay whole. A null or empty text is its end id alone; if
-    end_id is None it has no piece. Repeated rows are packed as often as they occur. Other columns
+    end_id is None it has no piece. Very long texts are encoded whole, one at a
+    time. Null ids stay null. Repeated rows are packed as often as they occur. Other columns
     are ignored. An empty table gives an empty result.
     """
     tail = np.array([] if end_id is None else [end_id], "<u4")
