@@ -86,6 +86,24 @@ def test_no_documents(spark, nothing):
     assert packing.pack_documents(nothing, public_tokenizers.path(FILES[1])).collect() == []
 
 
+def test_one_id_of_many_rows_is_dealt_to_many_files(spark):
+    rows = spark.range(4000).selectExpr("CASE WHEN id % 3 = 0 THEN null WHEN id % 3 = 1 THEN 7 ELSE id END AS doc_id", "concat('text ', id) AS text")
+    manifest = tokenbin.write_token_files(rows, scratch_path(spark, "t"), public_tokenizers.path(FILES[0]), end_id=2, ranges=8)
+    sizes = {r["part"]: r["n_docs"] for r in manifest.collect()}
+    assert len(sizes) == 8 and max(sizes.values()) < 1000
+    got = tokenbin.read_token_files(manifest).orderBy("start").collect()
+    ids = [r["doc_id"] for r in got]
+    assert len(ids) == 4000 and ids == sorted(ids, key=lambda x: -1 if x is None else x)
+    assert all(b["start"] == a["start"] + a["n_tokens"] for a, b in zip(got, got[1:]))
+
+
+def test_files_end_though_texts_have_no_ids(spark):
+    rows = spark.range(500).selectExpr("id AS doc_id", "'' AS text")
+    manifest = tokenbin.write_token_files(rows, scratch_path(spark, "t"), public_tokenizers.path(FILES[0]), end_id=None, ranges=1, file_docs=100)
+    assert sorted(r["n_docs"] for r in manifest.collect()) == [100] * 5
+    assert tokenbin.read_token_files(manifest).filter("n_tokens = 0").count() == 500
+
+
 # ---- packing
 
 

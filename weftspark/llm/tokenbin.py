@@ -12,8 +12,8 @@ File layout, all numbers little-endian:
 
 The chunk index gives random access: ids a..b touch only the chunks that hold them.
 
-Scale: documents are dealt into ranges of their id,
-sorted within a range, and each range becomes files of at most `file_ids`
+Scale: documents are dealt into ranges of their id and a hash of their text,
+sorted within a range, and each range becomes files that end at `file_ids`
 ids, written to the shared folder under names of their own. Only files in the
 manifest count, so lost or repeated tasks leave no trace. Where a file begins in
 the whole sequence follows from sums over files, never over documents.
@@ -171,13 +171,15 @@ class PlaneReader:
             place += n
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer_file: str, *, end_id: int | None = None, id_col: str = "doc_id", text_col: str = "text", mode: str = "byte", block: int = 1 << 16, file_ids: int = 1 << 25, level: int = 3, ranges: int | None = None) -> DataFrame:
+def write_token_files(docs: DataFrame, path: str, tokenizer_file: str, *, end_id: int | None = None, id_col: str = "doc_id", text_col: str = "text", mode: str = "byte", block: int = 1 << 16, file_ids: int = 1 << 25, file_docs: int = 1 << 20, level: int = 3, ranges: int | None = None) -> DataFrame:
     """Encode every text, write files under path in ascending id order; the manifest comes back.
 
     Manifest: path, part, seq, n_docs, n_ids, n_bytes, base (ids of all files
     before it). A null text has no ids but end_id; a null id sorts first; rows of
-    equal id stay side by side, in the order of their texts. Other columns are ignored. An empty table
-    gives an empty manifest.
+    equal id stay side by side, in the order of a hash of their texts, so that an id
+    of many rows (or no id) is dealt to many ranges. A file ends at file_ids ids or file_docs
+    documents; a very long text is one document of one file. Other columns are
+    ignored. An empty table gives an empty manifest.
     """
     if mode not in ("bit", "byte"):
         raise ValueError("mode is bit or byte")
@@ -185,7 +187,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_file: str, *, end_id
     n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     # one pass follows the deal, so the number of a range can be that of its partition
-    dealt = rows.repartitionByRange(n, F.asc_nulls_first("id")).sortWithinPartitions(F.asc_nulls_first("id"), "text").withColumn("part", F.spark_partition_id())
+    by = [F.asc_nulls_first("id"), F.xxhash64("text").asc()]
+    dealt = rows.repartitionByRange(n, *by).sortWithinPartitions(*by, "text").withColumn("part", F.spark_partition_id())
     tail = np.array([] if end_id is None else [end_id], "<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,7 +203,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_file: str, *, end_id
 
         for batch in small(batches):
             for doc_id, text, k in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
-                if writer is None or now[0] != k or writer.n_ids >= file_ids:
+                if writer is None or now[0] != k or writer.n_ids >= file_ids or len(writer.lengths) >= file_docs:
                     if writer is not None:
                         finish()
                     now = (k, now[1] + 1 if now and now[0] == k else 0)
