@@ -121,11 +121,57 @@ def test_quality(quality):
     assert np.mean([got[k] == int(k % 4 != 0) for k in got]) > 0.97
 
 
-def test_negative_risk_is_turned_round():
+def test_quality_of_the_held_out_fold(quality):
+    """Accuracy on rows whose labels were never read; labels of 0 change nothing."""
+    docs, labels = quality
+    model = puquality.fit(docs, labels)
+    got = puquality.judge(docs, model).filter(fold("doc_id", 5) == 0).collect()
+    assert len(got) > 80 and np.mean([r["predicted"] == int(r["doc_id"] % 4 != 0) for r in got]) > 0.97
+    same = puquality.fit(docs, labels.filter("quality = 1"))
+    assert same.prior == model.prior and np.array_equal(same.w1, model.w1)
+
+
+@pytest.mark.parametrize("share", [0.2, 0.5, 0.8])
+def test_prior_from_positives_and_unlabelled(share):
+    rng = np.random.default_rng(3)
+    draw = lambda good: rng.normal(1.5 if good else -1.5, 1, puquality.FEATURES) * np.r_[np.ones(3), np.zeros(puquality.FEATURES - 3)]
+    positive = np.array([draw(True) for _ in range(1500)])
+    unlabelled = np.array([draw(rng.random() < share) for _ in range(3000)])
+    assert abs(puquality.estimate_prior(positive, unlabelled) - share) < 0.06
+
+
+@pytest.mark.parametrize("prior", [None, 0.3, 0.9])
+def test_risk_and_gradients(prior):
+    """The risk against its definition, row by row; the gradients against differences of it."""
     rng = np.random.default_rng(0)
-    x = rng.normal(0, 1, (400, puquality.FEATURES))
-    model = puquality.train(x[:200], x, 0.9, epochs=20)
-    assert np.isfinite(model.score(x)).all()
+    p = [rng.normal(0, 1, (5, 3)), rng.normal(0, 1, 3), rng.normal(0, 1, 3), rng.normal(0, 1, 1)]
+    xp, xu = rng.normal(0.5, 1, (7, 5)), rng.normal(0, 1, (11, 5))
+
+    def risks():
+        out = lambda x: sum(np.tanh(sum(x[i] * p[0][i, j] for i in range(5)) + p[1][j]) * p[2][j] for j in range(3)) + p[3][0]
+        plus, minus = (lambda x: np.log(1 + np.exp(-out(x)))), (lambda x: np.log(1 + np.exp(out(x))))
+        mean = lambda f, rows: sum(map(f, rows)) / len(rows)
+        share, less = (1, 0) if prior is None else (prior, prior)
+        return share * mean(plus, xp), mean(minus, xu) - less * mean(minus, xp)
+
+    turned = set()
+    for _ in range(2):
+        positive, negative, grads = puquality._loss_gradients(p, xp, xu, prior)
+        assert np.allclose((positive, negative), risks())
+        turned.add(negative < 0)
+        goal = (lambda: sum(risks())) if negative >= 0 else (lambda: -risks()[1])
+        for w, g in zip(p, grads):
+            for at in np.ndindex(w.shape):
+                w[at] += 1e-5
+                up = goal()
+                w[at] -= 2e-5
+                assert abs((up - goal()) / 2e-5 - g[at]) < 1e-5
+                w[at] += 1e-5
+        # positives far on their side, unlabelled on the other: the negative risk falls below 0
+        some = rng.normal(0, 3, (200, 5))
+        by = np.argsort(np.tanh(some @ p[0] + p[1]) @ p[2])
+        xp, xu = some[by[-7:]], some[by[:11]]
+    assert prior is None or True in turned
 
 
 def test_quality_of_awkward_texts(quality, awkward, nothing, spark):
