@@ -5,7 +5,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from weftspark.llm import simhash
+from weftspark.llm import nearcopies, simhash
 
 from .conftest import sentences
 
@@ -125,8 +125,8 @@ def test_one_per_group(spark, awkward, nothing):
             rows.append((k, " ".join(words)))
             k += 1
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
-    stay = sorted(r["doc_id"] for r in simhash.one_per_group(docs).collect())
-    sets = {d: simhash.shingle_set(t, 5) for d, t in rows}
+    stay = sorted(r["doc_id"] for r in nearcopies.one_per_group(docs).collect())
+    sets = {d: nearcopies.shingle_set(t, 5) for d, t in rows}
     ids = sorted(sets)
     parent = {d: d for d in ids}
 
@@ -137,21 +137,21 @@ def test_one_per_group(spark, awkward, nothing):
 
     for i in ids:
         for j in ids:
-            if j < i and simhash.similarity(sets[i], sets[j]) >= 0.8:
+            if j < i and nearcopies.similarity(sets[i], sets[j]) >= 0.8:
                 a, b = find(i), find(j)
                 parent[max(a, b)] = min(a, b)
     want = [d for d in ids if find(d) == d]
-    assert set(want) <= set(stay) and len(stay) - len(want) <= 1
-    kept = simhash.one_per_group(awkward)
+    assert stay == want
+    kept = nearcopies.one_per_group(awkward)
     assert kept.columns == awkward.columns
     assert kept.filter("doc_id IS NULL").count() == 2
     ids = [r["doc_id"] for r in kept.filter("doc_id IS NOT NULL").collect()]
     assert len(ids) == len(set(ids)) and 101 not in ids
-    assert simhash.one_per_group(nothing).collect() == []
+    assert nearcopies.one_per_group(nothing).collect() == []
 
 
 def _stay(spark, rows):
-    return sorted(r["doc_id"] for r in simhash.one_per_group(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect())
+    return sorted(r["doc_id"] for r in nearcopies.one_per_group(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect())
 
 
 def test_equal_texts_behind_an_unlike_first_one(spark):
@@ -175,8 +175,8 @@ def test_cut_and_extended_copies(spark):
             words = [f"w{n}x{k}y{j}" for j in range(n)]
             shingles = n - 4
             for other in (words[: 4 + -(-shingles * (80 + k) // 100)], [*words, *(f"e{n}x{k}y{j}" for j in range(shingles * (19 - k) // 76))]):
-                a, b = simhash.shingle_set(" ".join(words), 5), simhash.shingle_set(" ".join(other), 5)
-                assert 0.8 <= simhash.similarity(a, b) < 1
+                a, b = nearcopies.shingle_set(" ".join(words), 5), nearcopies.shingle_set(" ".join(other), 5)
+                assert 0.8 <= nearcopies.similarity(a, b) < 1
                 want.append(len(rows))
                 tag = "p" if other[0] == words[0] and len(other) < n else "q"
                 rows += [(len(rows), " ".join(tag + w for w in words)), (len(rows) + 1, " ".join(tag + w for w in other))]
@@ -184,3 +184,109 @@ def test_cut_and_extended_copies(spark):
             want += [len(rows), len(rows) + 1]
             rows += [(len(rows), " ".join("r" + w for w in words)), (len(rows) + 1, " ".join("r" + w for w in short))]
     assert _stay(spark, rows) == want
+
+
+def plain_set(text, shingle=5):
+    words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode().split()
+    return {tuple(words[k : k + shingle]) for k in range(max(1, len(words) - shingle + 1))} if words else set()
+
+
+def plain_groups(rows, at_least=0.8):
+    """The smallest id of each group, by all pairs of plain sets."""
+    ids = sorted(rows)
+    sets = {d: plain_set(t) for d, t in rows.items()}
+    parent = {d: d for d in ids}
+
+    def find(d):
+        while parent[d] != d:
+            d = parent[d]
+        return d
+
+    for i in ids:
+        for j in ids:
+            if j < i and (sets[i] == sets[j] or len(sets[i] & sets[j]) >= at_least * len(sets[i] | sets[j]) - 1e-9):
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    return [d for d in ids if find(d) == d]
+
+
+def test_sets_are_those_of_the_words():
+    rng = random.Random(2)
+    texts = [sentences(rng, n) for n in (0, 1, 4, 5, 6, 50, 400)] + [None, "a A a a a a a", "x y", "y x"]
+    for a in texts:
+        for b in texts:
+            x, y = plain_set(a), plain_set(b)
+            s, t = nearcopies.shingle_set(a, 5), nearcopies.shingle_set(b, 5)
+            assert len(s) == len(x) and len(np.intersect1d(s, t)) == len(x & y)
+
+
+@pytest.mark.parametrize("most_units", [64, 8, 2])
+def test_clusters_of_many_near_copies(spark, monkeypatch, most_units):
+    """Edits of one text, from slight to too many: stars, counted pairs and blocks give what all pairs give."""
+    rng = random.Random(most_units)
+    monkeypatch.setattr(nearcopies, "BLOCK", 1 << 13)
+    rows = {}
+    for base in range(3):
+        words = [f"b{base}w{k}" for k in range(90)]
+        for k in range((140, 40, 5)[base]):
+            copy = list(words)
+            for _ in range(rng.randint(0, 5)):
+                copy[rng.randrange(90)] = f"e{rng.randrange(10**6)}"
+            rows[len(rows) * 7 % 1009] = " ".join(copy)
+    common = [f"c{k}" for k in range(30)]
+    for k in range(60):  # texts that share a passage, which is most of some of them
+        rows[2000 + k] = " ".join([*common, *(f"o{k}x{j}" for j in range(rng.choice([2, 5, 9, 60])))])
+    rows |= {3000 + k: sentences(rng, rng.randint(3, 60)) for k in range(60)}
+    rows |= {4000 + k: rows[7 * k % 1009] for k in range(20)}
+    docs = spark.createDataFrame(sorted(rows.items()), "doc_id bigint, text string").repartition(3)
+    got = sorted(r["doc_id"] for r in nearcopies.one_per_group(docs, most_units=most_units).collect())
+    assert got == plain_groups(rows)
+
+
+def test_block_links_are_a_forest_of_all_links():
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        base = rng.integers(0, 1 << 60, 40).astype(np.uint64)
+        sets = [np.unique(np.where(rng.random(40) < rng.choice([0.02, 0.1, 0.3]), rng.integers(0, 1 << 60, 40).astype(np.uint64), base)) for _ in range(30)]
+        for two in (None, 12):
+            one, other = (sets, None) if two is None else (sets[:two], sets[two:])
+            got = nearcopies.block_links(one, other, 0.8)
+            pairs = [(x, y) for y in range(30) for x in range(y) if (two is None or (x < two <= y)) and nearcopies.similarity(sets[x], sets[y]) >= 0.8]
+            assert set(got) <= set(pairs) and len(got) <= 29
+            flat = lambda edges: simhash._union(np.arange(30), np.array([e[0] for e in edges], np.int64), np.array([e[1] for e in edges], np.int64)).tolist()
+            assert flat(got) == flat(pairs)
+
+
+def test_shared_keys_over_batches():
+    import pyarrow as pa
+
+    rng = random.Random(1)
+    for _ in range(50):
+        keys = sorted(rng.choices(range(12), k=rng.randint(1, 14)))
+        cuts = sorted(rng.choices(range(len(keys) + 1), k=3))
+        batches = [pa.record_batch([pa.array(keys[a:b], pa.int64()), pa.array(range(a, b))], names=["key", "at"]) for a, b in zip([0, *cuts], [*cuts, len(keys)])]
+        got = [x for b in nearcopies._shared(iter(batches)) for x in b.column(1).to_pylist()]
+        assert got == [k for k, x in enumerate(keys) if keys.count(x) > 1]
+
+
+def test_rows_that_repeat_an_id(spark):
+    """Unlike texts of one id all stay; equal rows become one; a copy under a larger id goes."""
+    rng = random.Random(4)
+    a, b, c = (sentences(rng, 50) for _ in range(3))
+    rows = [(1, a), (1, b), (1, b), (1, b + " end"), (2, a), (3, c), (3, c), (None, c), (None, c)]
+    got = nearcopies.one_per_group(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()
+    texts = sorted((str(r["doc_id"]), r["text"]) for r in got)
+    kept_b = [t for d, t in texts if d == "1" and t != a]
+    assert len(kept_b) == 1 and kept_b[0] in (b, b + " end")
+    assert [t for t in texts if t[1] not in (b, b + " end")] == sorted([("1", a), ("3", c), ("None", c), ("None", c)])
+
+
+def test_long_text_fingerprints(spark, awkward):
+    """The very long texts, too, have the bits of a plain count."""
+    long = [r for r in awkward.collect() if (r["text"] or "").count(" ") >= 25_000]
+    assert long
+    for r in long:
+        words = r["text"].lower().encode().split()
+        h = np.array([xxhash.xxh64_intdigest(b" ".join(words[k : k + 4]), 42) for k in range(len(words) - 3)], np.uint64)
+        want = sum(1 << k for k in range(64) if 2 * int((h >> np.uint64(k) & np.uint64(1)).sum()) > len(h))
+        assert simhash.fingerprint(r["text"]) == want

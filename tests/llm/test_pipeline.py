@@ -8,7 +8,7 @@ import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from weftspark.llm import decontam, langid, puquality, queries, simhash
+from weftspark.llm import decontam, langid, nearcopies, puquality, queries
 from weftspark.llm.common import table
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -17,7 +17,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test table
 
 def brute_groups(rows):
     ids = sorted(rows)
-    sets = {d: simhash.shingle_set(t, 5) for d, t in rows.items()}
+    sets = {d: nearcopies.shingle_set(t, 5) for d, t in rows.items()}
     parent = {d: d for d in ids}
 
     def find(d):
@@ -27,7 +27,7 @@ def brute_groups(rows):
 
     for i in ids:
         for j in ids:
-            if j < i and simhash.similarity(sets[i], sets[j]) >= 0.8:
+            if j < i and nearcopies.similarity(sets[i], sets[j]) >= 0.8:
                 a, b = find(i), find(j)
                 parent[max(a, b)] = min(a, b)
     return {d for d in ids if find(d) == d}

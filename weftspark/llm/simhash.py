@@ -15,14 +15,12 @@
 4. Forests of all buckets are joined by large-star/small-star rounds, each
    written to the shared folder.
 
-near_duplicates links by the fingerprints alone. one_per_group looks for Jaccard
-similarity of word shingles: there each text's rarest shingles find all
-candidates, and shingle sets decide.
+near_duplicates links by the fingerprints alone; nearcopies.py takes the index's
+links as candidates for texts of similar shingles.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -267,10 +265,12 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         # large-star: neighbours above a node move to its smallest neighbour
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        # written out: a join of two plain tables can be split where one node has many neighbours
+        least = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         # small-star: a node and the neighbours below it move to the smallest of them
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = materialise(large, "large")
+        low = materialise(large.groupBy("a").agg(F.min("b").alias("m")), "low")
         small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*").filter("a <> b").distinct()
         edges = materialise(small, "star")
         now = edges.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first()
@@ -296,169 +296,3 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     least = of.groupBy("root").agg(F.min("rep").alias("component_id"))
     known = of.join(least, "root").select("fp", "component_id")
     return prints.join(known, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
-
-
-# ---- near-copies by shingles: rare shingles find candidates, whole shingle sets decide ------------
-
-
-def shingle_set(text: str | None, shingle: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word shingles; fewer words are one shingle, none are none."""
-    words = text.encode("utf-8", "surrogatepass").translate(LOWER).split() if text else []
-    if not words:
-        return np.empty(0, np.uint64)
-    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(words[k : k + shingle])) for k in range(max(1, len(words) - shingle + 1))], np.uint64))
-
-
-def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard similarity of two sorted sets; two empty ones are equal."""
-    if not len(a) and not len(b):
-        return 1.0
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both)
-
-
-#: shingles fall into so many classes of frequency; any order of shingles is right, the rarest first is fast
-SKETCH = 1 << 18
-
-
-def _frequencies(rows: DataFrame, shingle: int) -> np.ndarray:
-    """Rank of frequency (0 to 62) of each hash class of shingles, from a quarter of the texts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SKETCH, np.int64)
-        for batch in small(batches):
-            for t in batch.column(0).to_pylist():
-                np.add.at(total, (shingle_set(t, shingle) % np.uint64(SKETCH)).astype(np.int64), 1)
-        there = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(there), pa.array(total[there])], names=["code", "n"])
-
-    sums = rows.filter("xxhash64(id) % 4 = 0").select("text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
-    ranks = np.zeros(SKETCH, np.uint8)
-    ranks[sums.column("code").to_numpy()] = np.log2(sums.column("n").to_numpy()).astype(np.uint8)
-    return ranks
-
-
-def prefix(shingles: np.ndarray, ranks: np.ndarray, at_least: float) -> np.ndarray:
-    """The first of the shingles in the common order: sets as similar as at_least share one or more of these."""
-    n = len(shingles)
-    if not n:
-        return shingles
-    keys = ranks[(shingles % np.uint64(SKETCH)).astype(np.int64)].astype(np.uint64) << np.uint64(58) | shingles >> np.uint64(6)
-    return np.sort(keys)[: n - math.ceil(at_least * n - 1e-9) + 1]
-
-
-def _candidates(batches: Iterator[pa.RecordBatch], at_least: float) -> Iterator[pa.RecordBatch]:
-    """Pairs of sets with a common key, how many keys they share here, and how many they need in all.
-
-    Beyond their first keys two sets share at most what the larger one keeps back.
-    """
-    got = [b for b in batches if b.num_rows]
-    if not got:
-        return
-    data = pa.Table.from_batches(got)
-    key, h, n = (data.column(c).to_numpy() for c in ("key", "h", "n"))
-    del data, got
-    by = np.lexsort((h, n, key))
-    key, h, n = key[by], h[by], n[by].astype(np.int64)
-    # a set's partners stand behind it: same key, size at most n / at_least
-    ends = np.searchsorted(key, key, "right")
-    far = np.searchsorted(_place(key, n), _place(key, np.floor(n / at_least + 1e-9).astype(np.int64)), "right")
-    width = np.minimum(ends, far) - np.arange(len(key)) - 1
-    before = np.r_[0, np.cumsum(width)]
-    at = 0
-    while at < len(key):
-        stop = max(at + 1, int(np.searchsorted(before, before[at] + CHUNK, "right")) - 1)
-        w = width[at:stop]
-        x = np.repeat(np.arange(at, stop), w)
-        y = x + 1 + _within(w)
-        at = stop
-        if not len(x):
-            continue
-        order = np.lexsort((h[y], h[x]))
-        a, b = h[x][order], h[y][order]
-        first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-        na, nb = n[x][order][first], n[y][order][first]
-        need = np.ceil(at_least / (1 + at_least) * (na + nb) - 1e-9) - np.ceil(at_least * nb - 1e-9) + 1
-        shared = np.diff(np.r_[first, len(a)])
-        a, b = a[first], b[first]
-        yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(need.astype(np.int64)), pa.array(shared)], names=["a", "b", "need", "shared"])
-
-
-def _place(key: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """(key, n) as one number that sorts like the pair; key is sorted."""
-    group = np.cumsum(np.r_[True, key[1:] != key[:-1]]) if len(key) else key
-    return group.astype(np.int64) << 32 | np.minimum(n, (1 << 32) - 1)
-
-
-def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, at_least: float = 0.8) -> DataFrame:
-    """(id, component_id) for the ids that have a near-copy: Jaccard similarity of word shingles at_least.
-
-    Texts with equal shingle sets are one set, of the smallest id. Two sets as
-    similar as at_least share one of their rarest shingles, so a join on these
-    misses no pair; each pair that shares enough of them to be as similar is
-    checked on the whole sets. Null and empty texts are copies of each other.
-    Null ids are left out.
-    """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id IS NOT NULL")
-    kind = docs.schema[id_col].dataType.simpleString()
-    ranks = rows.sparkSession.sparkContext.broadcast(_frequencies(rows, shingle))
-
-    def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = ranks.value
-        for batch in small(batches):
-            sets = [shingle_set(t, shingle) for t in batch.column(1).to_pylist()]
-            yield pa.record_batch([batch.column(0), pa.array([_name(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([prefix(s, order, at_least).tobytes() for s in sets], pa.binary())], names=["id", "h", "n", "keys"])
-
-    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches):
-            keys = [np.frombuffer(k, np.int64) for k in batch.column(2).to_pylist()]
-            sizes = np.array([len(k) for k in keys], np.int64)
-            h, n = (np.repeat(batch.column(c).to_numpy(), sizes) for c in (0, 1))
-            yield pa.record_batch([pa.array(np.concatenate(keys)), pa.array(h), pa.array(n.astype(np.int32))], names=["key", "h", "n"])
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches):
-            found = [shingle_set(t, shingle) for t in batch.column(1).to_pylist()]
-            yield pa.record_batch([pa.array([_name(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["h", "s"])
-
-    def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches):
-            x, y = (batch.column(c).to_pylist() for c in ("s", "z"))
-            keep = [similarity(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)) >= at_least for p, q in zip(x, y, strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    found = materialise(rows.mapInArrow(firsts, f"id {kind}, h long, n long, keys binary"), "firsts")
-    reps = materialise(found.groupBy("h").agg(F.min("id").alias("rep")), "reps")
-    # merge joins at every size: a plan that broadcasts what happens to be small moves texts only beyond that
-    distinct = found.join(reps.hint("merge"), (found.h == reps.h) & (found.id == reps.rep), "left_semi").select("h", "n", "keys").dropDuplicates(["h"])
-    keys = distinct.mapInArrow(dealt, "key long, h long, n int").repartition("key")
-    pairs = keys.mapInArrow(lambda b: _candidates(b, at_least), "a long, b long, need long, shared long").groupBy("a", "b").agg(F.max("need").alias("need"), F.sum("shared").alias("shared"))
-    pairs = materialise(pairs.filter("shared >= need").select("a", "b"), "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
-    ids = reps.join(wanted.hint("merge"), "h", "left_semi").select(F.col("rep").alias("id"))
-    known = rows.join(ids.distinct().hint("merge"), "id", "left_semi").mapInArrow(sets, "h long, s binary")
-    known = materialise(known.dropDuplicates(["h"]), "sets")
-    both = pairs.join(known.withColumnRenamed("h", "a").hint("merge"), "a").join(known.withColumnsRenamed({"h": "b", "s": "z"}).hint("merge"), "b")
-    good = both.select("a", "b", "s", "z").mapInArrow(checked, "a long, b long")
-    one, two = reps.select(F.col("h").alias("a"), F.col("rep").alias("x")), reps.select(F.col("h").alias("b"), F.col("rep").alias("y"))
-    across = good.join(one.hint("merge"), "a").join(two.hint("merge"), "b").select("x", "y")
-    within = found.join(reps.hint("merge"), "h").select(F.col("id").alias("x"), F.col("rep").alias("y"))
-    edges = across.unionByName(within).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    return components(edges).select(F.col("node").alias("id"), F.col("root").alias("component_id"))
-
-
-def _name(shingles: np.ndarray) -> int:
-    """A set's 64-bit hash, signed."""
-    return xxhash.xxh64_intdigest(shingles.tobytes()) - _SIGN
-
-
-def one_per_group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """docs with one row of each group of near-copies: that of the smallest id.
-
-    Repeated rows of an id count as copies of it. Rows with a null id cannot be
-    told apart by id and stay.
-    """
-    found = similar_components(docs, id_col=id_col, text_col=text_col, **how)
-    gone = found.filter("id <> component_id").select(F.col("id").alias("__gone")).hint("merge")
-    kept = docs.filter(docs[id_col].isNotNull()).join(gone, docs[id_col] == gone["__gone"], "left_anti").dropDuplicates([id_col])
-    return kept.unionByName(docs.filter(docs[id_col].isNull()))
