@@ -7,8 +7,12 @@ shorter than the window), the words are hit.
 
 Scale: documents are never shuffled. Items are cut into blocks of at most
 `block_words` words, each broadcast as plain word lists (that is the proven size
-bound) and turned into an automaton once per Python worker; a benchmark of any
-size is handled as more blocks, all of which every document passes.
+bound) and turned into an automaton in the Python worker. With one block every
+document streams through it. With more, a bit set of the items' window hashes
+(64 bits a window, 128 MB at most) first tells the documents that may hold one; only
+these wait, up to `WAITING` bytes at a time, and then pass all blocks, so a
+block's automaton is built once for many documents. A worker keeps the automata of
+KEPT words, and word lists only while it builds.
 """
 
 from __future__ import annotations
@@ -16,8 +20,11 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
@@ -26,7 +33,9 @@ from weftspark.llm.common import LOWER, small
 #: Lower-cases A-Z and turns every ASCII byte that is neither letter nor digit into a space.
 _NORMAL = bytes(b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in LOWER)
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
-_BUILT: dict[tuple[str, int], "ItemAutomaton"] = {}
+#: bytes of documents that wait for the blocks, and words of items in the automata that a worker keeps
+WAITING, KEPT = 32 << 20, 800_000
+_BUILT: dict[tuple[str, int], tuple["ItemAutomaton", int]] = {}
 
 
 def item_words(text: str | None) -> list[bytes]:
@@ -158,18 +167,59 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def item_blocks(items: DataFrame, id_col: str, text_col: str, block_words: int) -> list[Broadcast]:
-    """Broadcast word lists of items, cut so that no block holds more than block_words words.
+@dataclass
+class Block:
+    """Items [(id, words)] under a name that follows from them; their words counted."""
 
-    An item longer than that is cut into overlapping parts of one block each by
-    the caller's window being far shorter; every window stays whole in a part.
+    name: str
+    words: int
+    items: Broadcast
+
+
+@dataclass
+class Items:
+    """All blocks; if there are more than one, the bit set of window hashes and the windows' widths."""
+
+    blocks: list[Block]
+    window: int
+    bits: Broadcast | None = None
+    widths: tuple[int, ...] = ()
+
+
+def _hashes(words: list[bytes], width: int) -> np.ndarray:
+    """64-bit hash of each `width` words in a row."""
+    w = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    h = np.full(max(0, len(w) - width + 1), width, np.uint64)
+    for j in range(width):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + w[j : j + len(h)]
+        h ^= h >> np.uint64(29)
+    return h * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def _places(h: np.ndarray, power: int) -> list[np.ndarray]:
+    return [(h * np.uint64(m)) >> np.uint64(64 - power) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
+
+
+def item_blocks(items: DataFrame, id_col: str, text_col: str, block_words: int, window: int) -> Items:
+    """Items in broadcast blocks, cut so that no block holds more than block_words words.
+
+    An item longer than that is cut into parts that overlap, so every window stays whole in one.
     """
+    if block_words < 2 * window:
+        raise ValueError("a block must hold two windows or more")
     spark = items.sparkSession
-    blocks: list[Broadcast] = []
+    blocks: list[Block] = []
+    found: list[np.ndarray] = []
+    widths: set[int] = set()
 
     def close() -> None:
         name = hashlib.sha256(repr(now).encode()).hexdigest()
-        blocks.append(spark.sparkContext.broadcast((name, now)))
+        blocks.append(Block(name, n, spark.sparkContext.broadcast(now)))
+        for _, words in now:
+            width = min(window, len(words))
+            if width:
+                widths.add(width)
+                found.append(np.unique(_hashes(words, width)))
 
     now: list[tuple[str, list[bytes]]] = []
     n = 0
@@ -187,32 +237,92 @@ def item_blocks(items: DataFrame, id_col: str, text_col: str, block_words: int)
             n += len(part)
     if now or not blocks:
         close()
-    return blocks
+    if len(blocks) == 1:
+        return Items(blocks, window)
+    every = np.unique(np.concatenate(found))
+    power = min(30, max(10, int(64 * len(every)).bit_length()))
+    bits = np.zeros(1 << (power - 6), np.uint64)
+    for at in _places(every, power):
+        np.bitwise_or.at(bits, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+    return Items(blocks, window, spark.sparkContext.broadcast((power, bits)), tuple(sorted(widths)))
+
+
+def _may_hit(words: list[bytes], items: Items) -> bool:
+    """False only for words without any window of any block."""
+    if items.bits is None:
+        return True
+    power, bits = items.bits.value
+    for width in items.widths:
+        there = np.ones(max(0, len(words) - width + 1), bool)
+        for at in _places(_hashes(words, width), power):
+            there &= (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
+        if there.any():
+            return True
+    return False
+
+
+def _automaton(block: Block, window: int) -> ItemAutomaton:
+    key = (block.name, window)
+    if key not in _BUILT:
+        while _BUILT and sum(n for _, n in _BUILT.values()) + block.words > KEPT:
+            del _BUILT[next(iter(_BUILT))]
+        _BUILT[key] = (ItemAutomaton(block.items.value, window), block.words)
+        block.items.__dict__.pop("_value", None)  # the word lists are in the file still
+    return _BUILT[key][0]
 
 
-def _automaton(block: Broadcast, window: int) -> ItemAutomaton:
-    name, items = block.value
-    key = (name, window)
-    if key not in _BUILT:
-        _BUILT.clear()  # one block's automaton at a time is the memory bound
-        _BUILT[key] = ItemAutomaton(items, window)
-    return _BUILT[key]
+Found = tuple[int, list[tuple[int, int]], list[str], int]
 
 
-def _scan(texts: list[str | None], blocks: list[Broadcast], window: int) -> list[tuple[int, list[tuple[int, int]], list[str], int]]:
+def _scan(texts: list[str | None], items: Items) -> list[Found]:
     """For each text: number of words, merged hit spans, item ids in order, longest match."""
-    words = [item_words(t) for t in texts]
     spans: list[list] = [[] for _ in texts]
-    items: list[set[str]] = [set() for _ in texts]
-    longest = [0] * len(texts)
-    for block in blocks:
-        automaton = _automaton(block, window)
-        for k, w in enumerate(words):
-            s, found, most = automaton.hits(w)
+    names: list[set[str]] = [set() for _ in texts]
+    longest, counts = [0] * len(texts), [0] * len(texts)
+    for block in items.blocks:
+        automaton = _automaton(block, items.window)
+        for k, t in enumerate(texts):
+            words = item_words(t)
+            s, found, most = automaton.hits(words)
+            counts[k] = len(words)
             spans[k] += s
-            items[k] |= found
+            names[k] |= found
             longest[k] = max(longest[k], most)
-    return [(len(w), _merged(s), sorted(i), m) for w, s, i, m in zip(words, spans, items, longest, strict=True)]
+    return [(n, _merged(s), sorted(i), m) for n, s, i, m in zip(counts, spans, names, longest, strict=True)]
+
+
+def _scanned(batches: Iterator[pa.RecordBatch], place: int, items: Items) -> Iterator[tuple[pa.RecordBatch, list[str | None], list[Found]]]:
+    """Slices of the batches with their texts (column `place`) and what was found; rows that had to wait come later.
+
+    Of a text that surely holds no window the longest match is not looked for, it is -1.
+    """
+    waiting: list[pa.RecordBatch] = []
+    size = 0
+
+    def scan(rows: pa.RecordBatch) -> tuple:
+        texts = rows.column(place).to_pylist()
+        return rows, texts, _scan(texts, items)
+
+    for batch in small(batches):
+        if items.bits is None:
+            yield scan(batch)
+            continue
+        texts = batch.column(place).to_pylist()
+        words = list(map(item_words, texts))
+        maybe = np.array([_may_hit(w, items) for w in words], bool)
+        clean = np.flatnonzero(~maybe)
+        yield batch.filter(pa.array(~maybe)), [texts[k] for k in clean], [(len(words[k]), [], [], -1 if words[k] else 0) for k in clean]
+        if maybe.any():
+            waiting.append(batch.filter(pa.array(maybe)))
+            size += sum(len(texts[k]) for k in np.flatnonzero(maybe))
+            if size >= WAITING:
+                yield from map(scan, _joined(waiting))
+                waiting, size = [], 0
+    yield from map(scan, _joined(waiting))
+
+
+def _joined(batches: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+    return pa.Table.from_batches(batches).combine_chunks().to_batches() if batches else []
 
 
 def contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 8, block_words: int = 200_000) -> DataFrame:
@@ -225,11 +335,10 @@ def contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
     """
     if not 2 <= window <= 32:
         raise ValueError("window must be from 2 to 32 words")
-    blocks = item_blocks(items, item_id, item_text, block_words)
+    known = item_blocks(items, item_id, item_text, block_words, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches):
-            got = _scan(batch.column(1).to_pylist(), blocks, window)
+        for batch, _, got in _scanned(batches, 1, known):
             yield pa.record_batch(
                 [
                     batch.column(0),
@@ -260,33 +369,36 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, text_col: str = "text",
     """docs without contaminated rows and passages; same columns.
 
     A row goes if windows of more than max_items items occur in it, or if more
-    than max_coverage of its words are hit by spans of min_span words or more.
-    In the other rows such spans are cut out of the text. Rows with null or
-    empty text stay as they are.
+    than max_coverage of its words are hit, by short items, too.
+    In the other rows spans of min_span words or more are cut out of the text.
+    Rows with null or empty text stay as they are, repeated rows are treated alike, an empty
+    table or no items change nothing; columns of docs keep their names, whatever they are.
     """
-    blocks = item_blocks(items, "item_id", "text", block_words)
+    known = item_blocks(items, "item_id", "text", block_words, window)
     schema = docs.schema
     place = schema.names.index(text_col)
     count = schema.names.index(n_chars_col) if n_chars_col in schema.names else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches):
-            texts = batch.column(place).to_pylist()
-            keep, changed = [], False
-            for k, (n, spans, found, _) in enumerate(_scan(texts, blocks, window)):
+        for batch, texts, got in _scanned(batches, place, known):
+            keep, changed = [], []
+            for k, (n, spans, found, _) in enumerate(got):
                 long = [s for s in spans if s[1] - s[0] >= min_span]
-                if len(found) > max_items or sum(b - a for a, b in long) > max_coverage * n:
+                if len(found) > max_items or sum(b - a for a, b in spans) > max_coverage * n:
                     keep.append(False)
                     continue
                 keep.append(True)
                 if long:
                     texts[k] = excise(texts[k], long)
-                    changed = True
+                    changed.append(k)
             if changed:
                 columns = list(batch.columns)
                 columns[place] = pa.array(texts, batch.schema.field(place).type)
                 if count is not None:
-                    columns[count] = pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(batch.schema.field(count).type)
+                    sizes = columns[count].to_pylist()
+                    for k in changed:
+                        sizes[k] = len(texts[k])
+                    columns[count] = pa.array(sizes, batch.schema.field(count).type)
                 batch = pa.record_batch(columns, schema=batch.schema)
             yield batch.filter(pa.array(keep, pa.bool_()))
 
