@@ -75,5 +75,21 @@ def test_long_repeat_is_cut(spark):
     assert got == {1: (True, 0), 2: (False, 150), 3: (True, 8)}
 
 
+def test_covered_part_has_a_limit_of_its_own(spark):
+    """A quarter of the words repeats: the base rule lets it pass, the rule on maximal repeats does not."""
+    texts = [(k, " ".join([*(f"w{j}" for j in range(120 - 2 * size)), *(f"p{j}" for j in range(size)), "x", *(f"p{j}" for j in range(size))])) for k, size in ((1, 9), (2, 15), (3, 20))]
+    got = {r["doc_id"]: (r["base_failed"], r["kept"], round(r["covered_fraction"], 2)) for r in repetition(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()}
+    assert got == {1: (False, True, 0.15), 2: (False, False, 0.25), 3: (True, False, 0.33)}
+
+
+def test_one_word_over_and_over():
+    """Intervals nest as deep as the text is long; places are set once."""
+    import time
+
+    began = time.time()
+    assert repeats([[b"x"] * 100_000], 8) == [(100_000, 99_999, 1 + 99_999 - 8)]
+    assert time.time() - began < 20
+
+
 def test_nothing(nothing):
     assert repetition(nothing).collect() == []

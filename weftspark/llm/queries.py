@@ -12,7 +12,8 @@ from weftspark.llm.sampling import fold
 
 
 def op1_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repetition.repetition(table(spark, sf_dir, "documents"))
+    found = repetition.repetition(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op2_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,6 +109,32 @@ QUERIES = {
 }
 
 ORACLES = {
+    # a repeat of over 100 words is a window of 101 words that occurs twice
+    "op1_repetition": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), lines AS (
+  SELECT r, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d
+), at8 AS (
+  SELECT r, w, unnest(generate_series(1, len(w) - 7)) AS p FROM d WHERE len(w) >= 8
+), twice AS (
+  SELECT r, list(p) AS ps FROM (SELECT r, p, array_to_string(list_slice(w, p, p + 7), ' ') AS g FROM at8) GROUP BY r, g HAVING count(*) > 1
+), covered AS (
+  SELECT r, count(DISTINCT q) AS n FROM (SELECT r, unnest(generate_series(p, p + 7)) AS q FROM (SELECT r, unnest(ps) AS p FROM twice)) GROUP BY r
+), at101 AS (
+  SELECT r, w, unnest(generate_series(1, len(w) - 100)) AS p FROM d JOIN covered USING (r) WHERE len(w) >= 102
+), long AS (
+  SELECT DISTINCT r FROM (SELECT r, md5(array_to_string(list_slice(w, p, p + 100), ' ')) AS g FROM at101) GROUP BY r, g HAVING count(*) > 1
+), counts AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+         CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
+         CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words, long.r IS NOT NULL AS is_long
+  FROM d JOIN lines USING (r) LEFT JOIN covered USING (r) LEFT JOIN long USING (r)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR 100 * n_repeat_words > 20 * n_words OR is_long) AS kept
+FROM counts
+""",
     "op5_decontamination": r"""
 WITH lowered AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents

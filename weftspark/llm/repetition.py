@@ -19,6 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from weftspark.llm.common import small
+
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\r\v\f"
 
@@ -110,6 +112,29 @@ def _merged(parts: list[list[bytes]]) -> np.ndarray:
     return codes + np.repeat(np.arange(len(parts)) * max(1, len(number)), [len(p) for p in parts])
 
 
+def longest_at(found: list[tuple[int, int, int]], n: int) -> np.ndarray:
+    """Length of the longest maximal repeat at each of n places of the suffix array, 0 for none.
+
+    Intervals nest, and inner (longer) ones come first, so each place is set once;
+    places that are set are jumped over.
+    """
+    best = np.zeros(n, np.int64)
+    after = list(range(n + 1))  # the next place that may be free
+    for length, a, b in found:
+        k, passed = a, []
+        while True:
+            while after[k] != k:
+                passed.append(k)
+                k = after[k]
+            if k >= b:
+                break
+            best[k] = length
+            after[k] = k + 1
+        for x in passed:
+            after[x] = k
+    return best
+
+
 def repeats(parts: list[list[bytes]], least: int) -> list[tuple[int, int, int]]:
     """For each text: words covered by maximal repeats of `least` words or more, the longest, how many there are.
 
@@ -121,19 +146,19 @@ def repeats(parts: list[list[bytes]], least: int) -> list[tuple[int, int, int]]:
     array = suffix_array(codes, least)
     starts = np.cumsum(sizes) - sizes
     covered, longest, kinds = (np.zeros(len(parts), np.int64) for _ in range(3))
-    if len(array.places):
-        reach = np.maximum(array.lcp, np.r_[array.lcp[1:], 0])
-        there = reach >= least
+    found = maximal_repeats(array, codes, least) if len(array.places) else []
+    if found:
+        reach = longest_at(found, len(array.places))
+        there = reach > 0
         mark = np.zeros(len(codes) + 1, np.int64)
         np.add.at(mark, array.places[there], 1)
         np.add.at(mark, array.places[there] + reach[there], -1)
         total = np.r_[0, np.cumsum(np.cumsum(mark[:-1]) > 0)]
         covered = total[starts + sizes] - total[starts]
-        text_of = np.searchsorted(starts, array.places, side="right") - 1
-        np.maximum.at(longest, text_of[there], reach[there])
-        found = maximal_repeats(array, codes, least)
-        if found:
-            np.add.at(kinds, text_of[[x[1] for x in found]], 1)
+        length, first, _ = (np.array(x) for x in zip(*found, strict=True))
+        text_of = np.searchsorted(starts, array.places[first], side="right") - 1
+        np.maximum.at(longest, text_of, length)
+        np.add.at(kinds, text_of, 1)
     return list(zip(covered.tolist(), longest.tolist(), kinds.tolist(), strict=True))
 
 
@@ -145,16 +170,17 @@ def _base(text: str | None, words: list[bytes]) -> tuple[int, int, int]:
     return len(text) - sum(map(text.count, BLANKS)), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines))
 
 
-def repetition(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 8, min_words: int = 20, max_repeat_percent: int = 30, max_fraction: float = 0.3, max_longest: int = 100, batch_words: int = 400_000) -> DataFrame:
+def repetition(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 8, min_words: int = 20, max_repeat_percent: int = 30, max_covered_percent: int = 20, max_longest: int = 100, batch_words: int = 400_000) -> DataFrame:
     """One row per document row with the base counts and the verdict of the repeats.
 
     covered_words, longest_repeat and n_repeats are of maximal repeats of `window`
     words or more. A word lies in a window that occurs twice or more just if such
     a repeat covers it, so n_repeat_words is the same number. kept is false for
-    base_failed, and where the covered fraction is over max_fraction or the
+    base_failed, and where the covered part is over max_covered_percent or the
     longest repeat has more than max_longest words.
 
-    Null, empty and blank texts have no words and fail. Repeated rows give equal
+    Null, empty and blank texts have no words and fail. A very long text is sorted
+    alone, whole. Repeated rows give equal
     results; other columns are ignored; an empty table gives an empty result.
     """
     names = ["id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "covered_fraction", "longest_repeat", "n_repeats"]
@@ -164,13 +190,13 @@ def repetition(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         for text, words, (covered, longest, kinds) in zip(texts, parts, repeats(parts, window), strict=True):
             n = len(words)
             failed = n < min_words or 100 * covered > max_repeat_percent * n
-            kept = not failed and covered <= max_fraction * n and longest <= max_longest
+            kept = not failed and 100 * covered <= max_covered_percent * n and longest <= max_longest
             rows.append((n, *_base(text, words), covered, failed, kept, covered / n if n else 0.0, longest, kinds))
         kinds_ = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] + [pa.int64()] * 2
         return pa.record_batch([ids, *[pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds_, strict=True)]], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             texts = batch.column(1).to_pylist()
             begin, size, parts = 0, 0, []
             for k, text in enumerate(texts):
