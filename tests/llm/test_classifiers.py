@@ -66,7 +66,7 @@ def test_language_gradients():
     model = langid.ByteCNN.fresh(["x", "y"], 1)
     model.params = {k: v.astype(np.float64) for k, v in model.params.items()}
     rng = np.random.default_rng(0)
-    sym = rng.integers(0, 64, (3, 259)).astype(np.uint8)
+    sym = rng.integers(0, langid.SYMBOLS, (3, 259)).astype(np.uint8)
     truth = np.array([0, 1, 1])
     grads = model._gradients(sym, truth)
 
@@ -83,6 +83,24 @@ def test_language_gradients():
         model.params[name][at] += 1e-6
 
 
+def test_scripts_beyond_latin(spark):
+    """Lead bytes of other scripts are told apart; held-out rows, whose labels were not read."""
+    rng = random.Random(3)
+    letters = {"ru": "абвгдежзиклмнопрст", "el": "αβγδεζηθικλμνξοπρσ", "ar": "ابتثجحخدذرزسشصضطظع", "ja": "あいうえおかきくけこさしすせそ", "ko": "가나다라마바사아자차카타파하"}
+    rows = []
+    for k in range(1000):
+        lang = sorted(letters)[k % 5]
+        rows.append((k, " ".join("".join(rng.choices(letters[lang], k=rng.randint(2, 6))) for _ in range(rng.randint(2, 30))), lang))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(3)
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs, langid.fit(docs)).filter(fold("doc_id", 5) == 0).collect()}
+    assert len(got) > 150 and np.mean([got[k] == rows[k][2] for k in got]) > 0.97
+
+
+def test_language_of_the_held_out_fold(prose):
+    got = langid.identify(prose, langid.fit(prose)).filter(fold("doc_id", 5) == 0).collect()
+    assert len(got) > 30 and np.mean([r["lang_pred"] == ("aa" if r["doc_id"] % 2 else "bb") for r in got]) > 0.97
+
+
 def test_language_of_awkward_texts(prose, awkward, nothing):
     model = langid.fit(prose)
     got = langid.identify(awkward, model)

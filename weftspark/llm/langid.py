@@ -1,12 +1,12 @@
 """Language identification with a byte convolutional network, in numpy.
 
-Bytes become 64 symbols, symbols get embeddings, filters of width 2, 3 and 4 run
+Bytes become symbols (letters without case, every byte beyond ASCII its own), symbols get embeddings, filters of width 2, 3 and 4 run
 over windows of 256 bytes, the largest response of each filter in a window feeds
 a softmax. A text's probabilities are the means over its windows, weighted by
 their letters, so the whole text counts.
 
-For prediction the filters' responses to all symbol pairs and triples are laid
-out in tables once per Python worker (16 MB), so a response is one lookup.
+For prediction the filters' responses to all symbol pairs are laid
+out in tables once per Python worker (7 MB), so a response is one lookup or the sum of two.
 Documents are not shuffled; the trained weights (some kB) travel with the task.
 """
 
@@ -25,23 +25,20 @@ from pyspark.sql import functions as F
 from weftspark.llm.common import small
 from weftspark.llm.sampling import bounded, fold, windows
 
-WINDOW, WIDTHS, FILTERS, EMBED, SYMBOLS = 256, (2, 3, 4), 16, 8, 64
+WINDOW, WIDTHS, FILTERS, EMBED, SYMBOLS = 256, (2, 3, 4), 16, 8, 157
 SPACE = 26
 _LETTER = regex.compile(r"\p{L}")
 _TABLES: dict[str, tuple] = {}
 
 
 def _symbols() -> np.ndarray:
-    """Letters 0-25, other ASCII 26-28 (blank, digit, mark), high bytes 29-63."""
+    """Letters 0-25, other ASCII 26-28 (blank, digit, mark), each byte from 0x80 on one of its own."""
     out = np.full(256, 28, np.uint8)
     for b in range(26):
         out[65 + b] = out[97 + b] = b
     out[[9, 10, 11, 12, 13, 32]] = SPACE
     out[48:58] = 27
-    out[0x80:0xC0] = 29 + np.arange(64) % 32
-    out[0xC0:0xE0] = 61
-    out[0xC3] = 62
-    out[0xE0:] = 63
+    out[0x80:] = 29 + np.arange(128)
     return out
 
 
@@ -129,9 +126,8 @@ class ByteCNN:
             p = self.params
             one = {w: [p["embed"] @ p[f"filter{w}"][j] for j in range(w)] for w in WIDTHS}
             pair = lambda a, b: (a[:, None] + b[None]).reshape(-1, FILTERS)
-            triple = (pair(one[3][0], one[3][1])[:, None] + one[3][2][None]).reshape(-1, FILTERS)
             _TABLES.clear()
-            _TABLES[key] = (pair(*one[2]), triple, pair(one[4][0], one[4][1]), pair(one[4][2], one[4][3]))
+            _TABLES[key] = (pair(*one[2]), pair(one[3][0], one[3][1]), one[3][2], pair(one[4][0], one[4][1]), pair(one[4][2], one[4][3]))
         return _TABLES[key]
 
     def predict(self, texts: list[bytes], most: int = 1 << 17) -> np.ndarray:
@@ -157,12 +153,12 @@ class ByteCNN:
         return out
 
     def _windows(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        two, three, head, tail = self._tables()
+        two, three, last, head, tail = self._tables()
         s = rows.astype(np.int32)
         pairs = s[:, :-1] * SYMBOLS + s[:, 1:]
         first, third = pairs[:, :WINDOW], pairs[:, 2:]
         pooled = []
-        for response in (lambda: two[first], lambda: three[first * SYMBOLS + s[:, 2 : WINDOW + 2]], lambda: head[first] + tail[third]):
+        for response in (lambda: two[first], lambda: three[first] + last[s[:, 2 : WINDOW + 2]], lambda: head[first] + tail[third]):
             x = response()
             while x.shape[1] > 1:
                 half = x.shape[1] // 2
@@ -217,7 +213,7 @@ def identify(docs: DataFrame, model: ByteCNN | None, *, id_col: str = "doc_id",
     """id, lang_pred, score for every row.
 
     Null texts and texts without a letter are 'und' with score 0; so is every
-    text if there is no model. Repeated rows give equal results; other columns
+    text if there is no model. Very long texts are read whole, some windows at a time. Repeated rows give equal results; other columns
     are ignored; an empty table gives an empty result.
     """
 
@@ -231,7 +227,10 @@ def identify(docs: DataFrame, model: ByteCNN | None, *, id_col: str = "doc_id",
 
 
 def keep_identified(docs: DataFrame, model: ByteCNN | None, *, text_col: str = "text", min_score: float = 0.4) -> DataFrame:
-    """docs without the rows whose language is 'und' or scored under min_score; same columns."""
+    """docs without the rows whose language is 'und' or scored under min_score; same columns, whatever they are called.
+
+    Null and empty texts and those without a letter go; without a model all do. Repeated rows are judged alike.
+    """
     place = docs.schema.names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
