@@ -11,15 +11,16 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import RDD
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
-from weftspark.functions.scalars import render
+from weftspark.functions.scalars import java_hash_of, render
 from weftspark.operators import cache as kept
-from weftspark.operators.http import HttpClient, map_http
+from weftspark.operators.calls import Returns, called, elements
+from weftspark.operators.http import HttpClient, map_http, mapped_objects
 from weftspark.operators.monoids import aggregate
 from weftspark.operators.order import CmpKey, numbered, sort_columns
 
@@ -51,24 +52,23 @@ class Dataset:
 
     # ---- narrow transforms
 
-    def map(self, what: Column | str | list | dict | Callable, returns: str | DataType | None = None) -> "Dataset | PyDataset":
-        """One output per input. Columns and SQL stay in Catalyst; a function needs `returns` to stay a Dataset."""
+    def map(self, what: Column | str | list | dict | Callable, returns: str | DataType | None = None, *, in_flight: int = 1) -> "Dataset | PyDataset":
+        """One output per input. Columns and SQL stay in Catalyst; a function needs `returns` to stay a Dataset.
+
+        A function sees Python values as Arrow has them: a null is None, integers are whole at any size. With
+        in_flight over 1 a task runs so many calls at once (the reference's limit is 1000), in threads; order stays.
+        """
         if not callable(what) or isinstance(what, Column):
             return Dataset(self.df.select(*self._columns(what)))
         if returns is None:
             return self.objects().map(what)
-        element = self._element()
+        element, shape = self._element(), Returns(returns)
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                out = [what(element(x)) for x in batch.itertuples(index=False, name=None)]
-                yield pd.DataFrame(out if names else {"value": out}, columns=names or ["value"])
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for _, out in called(batches, lambda x: what(element(x)), in_flight):
+                yield shape.batch(out)
 
-        kind = returns if isinstance(returns, str) else returns.simpleString()
-        names = None
-        if " " in kind.strip() and not kind.startswith("struct<"):
-            names = [f.split()[0] for f in kind.split(",")]
-        return Dataset(self.df.mapInPandas(run, kind if names else f"value {kind}"))
+        return Dataset(self.df.mapInArrow(run, shape.schema))
 
     def map_ordered(self, what: Column | str | list | dict, order: Column | str) -> "Dataset":
         """map that also carries each element's place as column pos, by the given order of the input.
@@ -80,40 +80,42 @@ class Dataset:
         return Dataset(placed.select(*self._columns(what), "pos"))
 
     def map_http(self, function: Callable[[HttpClient, Any], Any], returns: str | DataType, **how: Any) -> "Dataset":
-        """map with an HTTP client; see operators.http.map_http."""
-        return Dataset(map_http(self.df, function, returns, **how))
+        """map with an HTTP client over elements, pairs and rows, too; see operators.http.map_http."""
+        return Dataset(map_http(self.df, function, returns, element=self._element(), **how))
 
-    def filter(self, what: Column | str | Callable) -> "Dataset":
-        """Elements for which the predicate is true; null drops, as in SQL."""
+    def filter(self, what: Column | str | Callable, *, in_flight: int = 1) -> "Dataset":
+        """Elements for which the predicate is true; null drops, as in SQL. Functions as in map."""
         if not callable(what) or isinstance(what, Column):
             return Dataset(self.df.filter(what))
         element = self._element()
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                yield batch[[bool(what(element(x))) for x in batch.itertuples(index=False, name=None)]]
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch, out in called(batches, lambda x: bool(what(element(x))), in_flight):
+                yield batch.filter(pa.array(out, pa.bool_()))
 
-        return Dataset(self.df.mapInPandas(run, self.df.schema))
+        return Dataset(self.df.mapInArrow(run, self.df.schema))
 
     # ---- wide transforms
 
-    def reduce_by_key(self, merge: str | Callable, order: str | Column | Callable | None = None) -> "Dataset | PyDataset":
+    def reduce_by_key(self, merge: str | Callable, order: str | Column | Callable | None = None, cmp: Callable[[Any, Any], int] | None = None) -> "Dataset | PyDataset":
         """One row per distinct key (a null key is a key). merge: a named merge, or a function (a, b) -> c.
 
         A named merge is a partial and a final aggregate around one shuffle. A
-        function must be associative and commutative. order sorts the result.
+        function must be associative and commutative. order sorts the result: natural, desc, java_hash, or a
+        key made of the key (of its column for a named merge, of the object for a function); cmp compares two keys.
         """
-        if not isinstance(merge, str):
-            out = self.objects().reduce_by_key(merge)
-            return out.sort(key=lambda kv: kv[0]) if order == "natural" else out
+        if not isinstance(merge, str) or cmp is not None:
+            data = self if not isinstance(merge, str) else self.reduce_by_key(merge)
+            return data.objects().reduce_by_key(merge, order, cmp) if data is self else data.objects().sort_keys(order, cmp)
         df = self.df.groupBy("key").agg(aggregate(merge, F.col("value")).alias("value"))
         return Dataset(df.orderBy(*sort_columns(df, "key", order)) if order is not None else df)
 
     def fold_by_key(self, zero: Column, merge: Callable[[Column, Column], Column]) -> "Dataset":
         """reduce_by_key with a merge of column expressions, zero being neutral.
 
-        Values fold within (key, input partition) first, so a hot key is never
-        gathered whole: a second fold sees one value per key and partition.
+        Values fold within (key, input partition) first, so a hot key is never gathered whole: a second fold
+        sees one value per key and partition. The values themselves move once; where a named merge does the
+        same, reduce_by_key moves partial results only.
         """
         fold = lambda c: F.reduce(F.collect_list(c), zero, merge)
         part = self.df.withColumn("__part", F.spark_partition_id()).groupBy("key", "__part").agg(fold("value").alias("value"))
@@ -175,13 +177,7 @@ class Dataset:
     # ---- elements
 
     def _element(self) -> Callable[[tuple], Any]:
-        names = self.df.columns
-        if len(names) == 1:
-            return lambda x: x[0]
-        if names == ["key", "value"]:
-            return lambda x: (x[0], x[1])
-        make = Row(*names)
-        return lambda x: make(*x)
+        return elements(self.df.columns)
 
     def objects(self) -> "PyDataset":
         element = self._element()
@@ -194,18 +190,46 @@ class PyDataset:
     def __init__(self, spark: SparkSession, rdd: RDD):
         self.spark, self.rdd = spark, rdd
 
-    def map(self, f: Callable) -> "PyDataset":
+    def map(self, f: Callable, *, in_flight: int = 1) -> "PyDataset":
+        if in_flight > 1:
+            return PyDataset(self.spark, self.rdd.mapPartitions(lambda rows: mapped_objects(rows, f, in_flight)))
         return PyDataset(self.spark, self.rdd.map(f))
 
+    def map_http(self, function: Callable[[HttpClient, Any], Any], *, max_in_flight: int = 64, timeout: float = 30.0, retries: int = 2) -> "PyDataset":
+        """map with an HTTP client for each task, closed at its end."""
+
+        def run(rows: Iterator) -> Iterator:
+            client = HttpClient(timeout, retries)
+            try:
+                yield from mapped_objects(rows, lambda x: function(client, x), max_in_flight)
+            finally:
+                client.close()
+
+        return PyDataset(self.spark, self.rdd.mapPartitions(run))
+
     def map_ordered(self, f: Callable) -> "PyDataset":
         return self.map(f)
 
     def filter(self, f: Callable) -> "PyDataset":
         return PyDataset(self.spark, self.rdd.filter(f))
 
-    def reduce_by_key(self, merge: Callable) -> "PyDataset":
-        """Merges on the map side first."""
-        return PyDataset(self.spark, self.rdd.reduceByKey(merge))
+    def reduce_by_key(self, merge: Callable, order: str | Callable | None = None, cmp: Callable[[Any, Any], int] | None = None) -> "PyDataset":
+        """Merges on the map side first; order and cmp as in sort_keys."""
+        return PyDataset(self.spark, self.rdd.reduceByKey(merge)).sort_keys(order, cmp)
+
+    def sort_keys(self, order: str | Callable | None, cmp: Callable[[Any, Any], int] | None = None) -> "PyDataset":
+        """Pairs sorted by key: natural, desc, java_hash, a function of the key, or a comparator of keys; None stands first."""
+        if cmp is not None:
+            return self.sort(cmp=lambda a, b: cmp(a[0], b[0]))
+        if order is None:
+            return self
+        if isinstance(order, str) and order in ("natural", "desc"):
+            return self.sort(key=lambda kv: (kv[0] is not None, kv[0]) if kv[0] is not None else (False,), ascending=order == "natural")
+        if isinstance(order, str) and order == "java_hash":
+            return self.sort(key=lambda kv: (java_hash_of(kv[0]), str(kv[0])))
+        if callable(order) and not isinstance(order, Column):
+            return self.sort(key=lambda kv: order(kv[0]))
+        raise TypeError(f"objects cannot be sorted by {order!r}: natural, desc, java_hash, a function of the key, or cmp")
 
     def sort(self, key: Callable | None = None, cmp: Callable[[Any, Any], int] | None = None, ascending: bool = True) -> "PyDataset":
         by = (lambda x: CmpKey(cmp, x)) if cmp is not None else key or (lambda x: x)
@@ -230,6 +254,10 @@ class PyDataset:
         target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
         self.rdd.saveAsPickleFile(path)
 
+    def cache(self) -> int:
+        """Runs now and keeps the objects; the number is for sources.cached."""
+        return kept.keep_objects(self.spark, self.rdd)
+
     def to_frame(self, f: Callable, kind: str) -> DataFrame:
         return self.spark.createDataFrame(self.rdd.map(lambda x: (f(x),)), f"value {kind}")
 

@@ -46,12 +46,8 @@ def _field(part: Column, kind: T.DataType, lenient: bool) -> Column:
     return part
 
 
-def parse(lines: DataFrame, schema: T.StructType, *, sep: str = ",", column: str = "value", lenient: bool = False, header: str | None = None) -> DataFrame:
-    """Rows of lines. Fields past the schema are dropped; missing ones are errors, or null if lenient.
-
-    header: a line to leave out (the header stands once in each file of a folder).
-    """
-    rows = lines if header is None else lines.filter(F.col(column) != header)
+def parse(lines: DataFrame, schema: T.StructType, *, sep: str = ",", column: str = "value", lenient: bool = False) -> DataFrame:
+    """Rows of lines, every line being one. Fields past the schema are dropped; missing ones are errors, or null if lenient."""
     parts = F.split(F.col(column), f"\\Q{sep}\\E" if "\\E" not in sep else re.escape(sep), -1)
     out = []
     for k, f in enumerate(schema.fields):
@@ -59,7 +55,7 @@ def parse(lines: DataFrame, schema: T.StructType, *, sep: str = ",", column: str
         if not lenient:
             part = F.when(F.size(parts) > k, part).otherwise(F.raise_error(F.concat(F.lit(f"no field {f.name}: "), F.col(column))))
         out.append(_field(part, f.dataType, lenient).alias(f.name))
-    return rows.select(*out)
+    return lines.select(*out)
 
 
 def typed(df: DataFrame, name: str, kind: str) -> Column:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import itertools
 
-from pyspark import StorageLevel
+from pyspark import RDD, StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 _numbers = itertools.count(1)
-_kept: dict[tuple[str, int], DataFrame] = {}
+_kept: dict[tuple[str, int], DataFrame | RDD] = {}
 _by_plan: dict[tuple[str, int], tuple[DataFrame, int]] = {}
 
 
@@ -30,8 +30,17 @@ def keep(df: DataFrame) -> int:
     return number
 
 
-def load(spark: SparkSession, number: int, *, missing_ok: bool = False, schema: str = "value string") -> DataFrame:
-    """The rows of a number. An unknown one is an error, or an empty frame if missing_ok."""
+def keep_objects(spark: SparkSession, rdd: RDD) -> int:
+    """The same for opaque objects."""
+    number = next(_numbers)
+    rdd.persist(StorageLevel.MEMORY_AND_DISK)
+    rdd.count()
+    _kept[_app(spark), number] = rdd
+    return number
+
+
+def load(spark: SparkSession, number: int, *, missing_ok: bool = False, schema: str = "value string") -> DataFrame | RDD:
+    """The rows (or objects) of a number. An unknown one is an error, or an empty frame if missing_ok."""
     df = _kept.get((_app(spark), number))
     if df is None:
         if not missing_ok:

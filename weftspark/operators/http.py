@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import http.client
+import itertools
 import threading
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from typing import Any
 from urllib.parse import urlsplit
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import DataType
 
+from weftspark.operators.calls import Returns, called, elements
+
 
 class HttpError(RuntimeError):
     """An answer of status 400 or more, or no answer at all."""
@@ -68,24 +71,28 @@ class HttpClient:
         self.closed = True
 
 
-def map_http(df: DataFrame, function: Callable[[HttpClient, Any], Any], returns: str | DataType, *, column: str = "value", max_in_flight: int = 64, timeout: float = 30.0, retries: int = 2) -> DataFrame:
-    """value -> function(client, value), at most max_in_flight calls at once in a task.
+def mapped_objects(rows: Iterator, function: Callable, in_flight: int) -> Iterator:
+    """function of each object, in order, at most in_flight calls at once and a few times as many objects in hand."""
+    with ThreadPoolExecutor(in_flight) as pool:
+        while part := list(itertools.islice(rows, 4 * in_flight)):
+            yield from pool.map(function, part)
+
+
+def map_http(df: DataFrame, function: Callable[[HttpClient, Any], Any], returns: str | DataType, *, element: Callable[[tuple], Any] | None = None, max_in_flight: int = 64, timeout: float = 30.0, retries: int = 2, partitions: int | None = None) -> DataFrame:
+    """function(client, element) of each row, at most max_in_flight calls at once in a task.
 
-    Order within a task is kept. A task that is run again repeats its calls: at least once.
-    Errors of the function end the job.
+    Elements are values, pairs or Rows; returns as in Dataset.map. Order within a task is kept; partitions
+    deals the rows to so many tasks first, for small tables whose calls are slow. A task
+    that is run again repeats its calls: at least once. Errors of the function end the job.
     """
+    see, shape = element or elements(df.columns), Returns(returns)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         client = HttpClient(timeout, retries)
         try:
-            with ThreadPoolExecutor(max_in_flight) as pool:
-                for batch in batches:
-                    # a few calls per thread at a time, so waiting results stay bounded
-                    for k in range(0, len(batch), 16 * max_in_flight):
-                        part = batch[column].iloc[k : k + 16 * max_in_flight].tolist()
-                        yield pd.DataFrame({"value": list(pool.map(lambda x: function(client, x), part))})
+            for _, out in called(batches, lambda x: function(client, see(x)), max_in_flight):
+                yield shape.batch(out)
         finally:
             client.close()
 
-    kind = returns if isinstance(returns, str) else returns.simpleString()
-    return df.select(column).mapInPandas(run, f"value {kind}")
+    return (df.repartition(partitions) if partitions else df).mapInArrow(run, shape.schema)

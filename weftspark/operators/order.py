@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import Any
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftspark.functions.scalars import java_hash
+from weftspark.functions.scalars import java_hash_column
+from weftspark.session import scratch_path
 
 
 class CmpKey:
@@ -49,30 +49,38 @@ def sort_columns(df: DataFrame, column: str, order: str | Column | Callable[[Col
     if order == "desc":
         return [c.desc()]
     if order == "java_hash":
-        text = c if df.schema[column].dataType.simpleString() == "string" else c.cast("string")
-        key = c if df.schema[column].dataType.simpleString() in ("int", "smallint", "tinyint") else java_hash(text)
-        return [key.asc(), c.asc()]
+        return [java_hash_column(c, df.schema[column].dataType.simpleString()).asc(), c.asc()]
     key = order(c) if callable(order) and not isinstance(order, Column) else order
     return [key if isinstance(key, Column) else F.col(key)]
 
 
+def placed(df: DataFrame, name: str = "pos") -> DataFrame:
+    """df with each row's place (from 1) in the order that df has, which may be that of a global sort.
+
+    The rows are written to the shared folder with the number of their partition and their place in
+    it, as both passes must see the same ones; only the partitions' sizes come to the driver.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, "placed")
+    tagged = df.withColumns({"__part": F.spark_partition_id(), "__row": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
+    tagged.write.parquet(path)
+    rows = spark.read.schema(tagged.schema).parquet(path)
+    before, starts = 0, {}
+    for part, n in sorted(rows.groupBy("__part").count().collect()):
+        starts[part] = before
+        before += n
+    start = F.lit(0).cast("bigint")
+    if starts:
+        start = F.element_at(F.array(*[F.lit(starts.get(k, 0)).cast("bigint") for k in range(max(starts) + 1)]), F.col("__part") + 1)
+    return rows.withColumn(name, start + F.col("__row") + 1).drop("__part", "__row")
+
+
 def numbered(df: DataFrame, *order: Column, name: str = "pos", partitions: int | None = None) -> DataFrame:
     """df with each row's place (from 1) in the order, without one task seeing all rows.
 
     Rows are dealt to ranges of the order, with all columns as tie breakers, and
     sorted there; a row's place is its place in the range plus the rows before.
-    Only the ranges' sizes come to the driver. The sorted rows are persisted, as
-    both passes must see the same ranges; lost parts are made again from the same shuffle.
     """
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     plain = [F.col(f.name) for f in df.schema.fields if f.dataType.typeName() not in ("map", "variant")]
-    sorted_ = df.repartitionByRange(n, *order, *plain).sortWithinPartitions(*order, *plain)
-    sorted_ = sorted_.withColumns({"__part": F.spark_partition_id(), "__row": F.monotonically_increasing_id()}).persist(StorageLevel.MEMORY_AND_DISK)
-    before, starts = 0, {}
-    for part, rows in sorted(sorted_.groupBy("__part").count().collect()):
-        starts[part] = before
-        before += rows
-    start = F.lit(0).cast("bigint")
-    if starts:
-        start = F.element_at(F.array(*[F.lit(starts.get(k, 0)).cast("bigint") for k in range(max(starts) + 1)]), F.col("__part") + 1)
-    return sorted_.withColumn(name, start + F.col("__row").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("__part", "__row")
+    return placed(df.repartitionByRange(n, *order, *plain).sortWithinPartitions(*order, *plain), name)

@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
+import contextlib
+import io
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftspark import Dataset, cached, delimited, lines, objects
 from weftspark.functions import rows
-from weftspark.functions.scalars import lcg, render
+from weftspark.functions.scalars import render
 from weftspark.operators.http import HttpClient
-from weftspark.operators.order import numbered
+from weftspark.operators.order import placed
 from weftspark.operators.runs import reduce_runs
 from weftspark.plans import jobs
 from weftspark.session import scratch_path
-
-_SERVERS: dict[str, jobs.EchoServer] = {}
+from weftspark.sources.readers import random_ints as random_source
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,8 +38,10 @@ def map_expr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def map_python(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customers = Dataset(_table(spark, sf_dir, "customer").select("c_custkey", "c_name"))
-    return customers.map(lambda r: (r.c_custkey, r.c_name.upper()), "c_custkey bigint, loud string").df
+    """With a null and a 54-bit integer in each batch, which functions must see as they are."""
+    wide = F.when(F.col("c_custkey") % 3 > 0, F.col("c_custkey") + (1 << 53) + 1)
+    customers = Dataset(_table(spark, sf_dir, "customer").select("c_custkey", "c_name", wide.alias("wide"), F.col("c_acctbal").cast("decimal(12,2)").alias("balance")))
+    return customers.map(lambda r: (r.c_custkey, r.c_name.upper(), None if r.wide is None else r.wide + 2, r.balance), "c_custkey bigint, loud string, wide bigint, balance decimal(12,2)", in_flight=4).df.withColumn("balance", (F.col("balance") * 100).cast("bigint"))
 
 
 def map_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,8 +54,9 @@ def filter_expr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def filter_python(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = Dataset(_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("bigint").alias("quantity")))
-    return found.filter(lambda r: r.quantity > 45).df
+    wide = F.when(F.col("l_linenumber") > 1, F.col("l_orderkey") + (1 << 53) + 1)
+    found = Dataset(_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("bigint").alias("quantity"), wide.alias("wide")))
+    return found.filter(lambda r: r.quantity > 45 and r.wide is not None).df
 
 
 def pair_render(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,7 +98,8 @@ def rbk_then_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rbk_custom_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return numbered(_quantities(spark, sf_dir).reduce_by_key("sum").df, F.col("key").desc())
+    """The order is the reduce's own; placed only tells it."""
+    return placed(_quantities(spark, sf_dir).reduce_by_key("sum", order=lambda key: F.reverse(key)).df)
 
 
 def rbk_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,15 +138,15 @@ def most_popular(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sorted_natural(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return numbered(_table(spark, sf_dir, "customer").select("c_name", "c_custkey"), F.col("c_name"), F.col("c_custkey"))
+    return placed(Dataset(_table(spark, sf_dir, "customer").select("c_name", "c_custkey")).sort("c_name", "c_custkey").df)
 
 
 def sorted_desc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return numbered(_table(spark, sf_dir, "events").select("event_id", "ts"), F.col("ts").desc())
+    return placed(Dataset(_table(spark, sf_dir, "events").select("event_id", "ts")).sort(F.col("ts").desc(), "event_id").df)
 
 
 def sorted_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return numbered(_table(spark, sf_dir, "part").select("p_brand", "p_size", "p_partkey"), F.col("p_brand"), F.col("p_size").desc(), F.col("p_partkey"))
+    return placed(Dataset(_table(spark, sf_dir, "part").select("p_brand", "p_size", "p_partkey")).sort("p_brand", F.col("p_size").desc(), "p_partkey").df)
 
 
 def _blind(a: tuple, b: tuple) -> int:
@@ -157,7 +162,13 @@ def sorted_cmp(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sorted_java_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftspark.functions.scalars import java_hash
 
-    return numbered(_table(spark, sf_dir, "nation").select("n_name", java_hash(F.col("n_name")).alias("hash")), F.col("hash"), F.col("n_name"))
+    names = Dataset(_table(spark, sf_dir, "nation").select(F.col("n_name").alias("value"))).sort(order="java_hash").df
+    return placed(names).select(F.col("value").alias("n_name"), java_hash(F.col("value")).alias("hash"), "pos")
+
+
+def sorted_java_hash_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = Dataset(_table(spark, sf_dir, "orders").select((F.col("o_orderkey") * 7_000_000_011).alias("value"))).sort(order="java_hash").df
+    return placed(keys)
 
 
 def _written(spark: SparkSession, df: DataFrame, sep: str, header: bool) -> str:
@@ -213,24 +224,28 @@ def cache_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def random_ints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(10_000).select("id", lcg(F.col("id")).alias("value"))
+    return random_source(spark, 10_000, seed=7).df.groupBy("value").count().withColumnRenamed("count", "n")
 
 
 def map_http(spark: SparkSession, sf_dir: str) -> DataFrame:
-    host = spark.sparkContext.getConf().get("spark.driver.host", "127.0.0.1")
-    server = _SERVERS.setdefault(host, jobs.EchoServer(host) if host not in _SERVERS else None)
-    url = server.url
+    """Over pairs. The result is one row, so it is taken while the server runs."""
+    pairs = Dataset(_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), (F.col("o_orderkey") % 10).alias("value")))
+    with jobs.EchoServer(spark.sparkContext.getConf().get("spark.driver.host", "127.0.0.1")) as server:
+        url = server.url
 
-    def digit(client: HttpClient, x: int) -> int:
-        return ord(client.get(f"{url}/get?value={x % 10}")[jobs.DIGIT_AT]) - 48
+        def digit(client: HttpClient, pair: tuple[int, int]) -> tuple[int, int]:
+            return pair[0] % 10, ord(client.get(f"{url}/get?value={pair[1]}")[jobs.DIGIT_AT]) - 48
 
-    values = Dataset(_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("value")))
-    return values.map_http(digit, "bigint").df.agg((F.sum("value") % 10000).alias("value"))
+        got = pairs.map_http(digit, "key bigint, value bigint", partitions=spark.sparkContext.defaultParallelism)
+        value = got.filter("key = value").map("value").reduce("sum", 0)
+    return spark.createDataFrame([(value % 10000,)], "value bigint")
 
 
 def show_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
     ordered = Dataset(_table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("value")))
-    text = "\n".join(r["value"] for r in Dataset(ordered.sort("key").df).rendered().collect())
+    with contextlib.redirect_stdout(io.StringIO()) as shown:
+        text = ordered.show(order="key")
+    assert shown.getvalue() == text + "\n"
     return spark.createDataFrame([(text,)], "text string")
 
 
@@ -266,6 +281,7 @@ QUERIES = {
     "sorted_multi": sorted_multi,
     "sorted_cmp": sorted_cmp,
     "sorted_java_hash": sorted_java_hash,
+    "sorted_java_hash_long": sorted_java_hash_long,
     "rows_header": rows_header,
     "rows_generated_names": rows_generated_names,
     "rows_typed": rows_typed,
@@ -280,16 +296,17 @@ QUERIES = {
 
 _FLAGS = "SELECT l_returnflag || '-' || l_linestatus AS key, {} AS value FROM lineitem GROUP BY 1"
 _QUANTITY = "CAST(l_quantity AS BIGINT)"
+_ROUND = f"(xor({{0}}, {{0}} >> 16) * {0x45D9F3B}) % 4294967296"
 _HASH = "list_reduce(list_transform(string_split(n_name, ''), lambda c: CAST(ascii(c) AS BIGINT)), lambda h, x: (31 * h + x) % 4294967296)"
 
 ORACLES = {
     "lines_numbers_sum": "SELECT CAST(sum(event_id) AS BIGINT) AS total FROM events",
     "map_expr": "SELECT event_id, CAST(round(value * 100) AS BIGINT) AS cents FROM events",
-    "map_python": "SELECT c_custkey, upper(c_name) AS loud FROM customer",
+    "map_python": "SELECT c_custkey, upper(c_name) AS loud, CASE WHEN c_custkey % 3 > 0 THEN c_custkey + 9007199254740995 END AS wide, CAST(round(CAST(c_acctbal AS DECIMAL(12, 2)) * 100) AS BIGINT) AS balance FROM customer",
     "map_ordered": "SELECT event_id, upper(event_type) AS kind, row_number() OVER (ORDER BY event_id) AS pos FROM events",
     "map_http": "SELECT CAST(sum(o_orderkey % 10) % 10000 AS BIGINT) AS value FROM orders",
     "filter_expr": f"SELECT l_orderkey, l_linenumber, {_QUANTITY} AS quantity FROM lineitem WHERE l_quantity > 45",
-    "filter_python": f"SELECT l_orderkey, l_linenumber, {_QUANTITY} AS quantity FROM lineitem WHERE l_quantity > 45",
+    "filter_python": f"SELECT l_orderkey, l_linenumber, {_QUANTITY} AS quantity, l_orderkey + 9007199254740993 AS wide FROM lineitem WHERE l_quantity > 45 AND l_linenumber > 1",
     "pair_render": "SELECT concat_ws(',', n_name, n_regionkey) AS line FROM nation",
     "rbk_sum": _FLAGS.format(f"CAST(sum({_QUANTITY}) AS BIGINT)"),
     "rbk_min": _FLAGS.format(f"min({_QUANTITY})"),
@@ -300,7 +317,7 @@ ORACLES = {
     "rbk_python_merge": _FLAGS.format(f"CAST(sum({_QUANTITY}) % 1000003 AS BIGINT)"),
     "rbk_struct_key": "SELECT c_nationkey AS nation, c_mktsegment AS segment, CAST(sum(CAST(round(c_acctbal * 100) AS BIGINT)) AS BIGINT) AS cents FROM customer GROUP BY 1, 2",
     "rbk_then_filter": "SELECT o_custkey AS key, count(*) AS value FROM orders GROUP BY 1 HAVING count(*) >= 15",
-    "rbk_custom_order": f"SELECT *, row_number() OVER (ORDER BY key DESC) AS pos FROM ({_FLAGS.format(f'CAST(sum({_QUANTITY}) AS BIGINT)')})",
+    "rbk_custom_order": f"SELECT *, row_number() OVER (ORDER BY reverse(key)) AS pos FROM ({_FLAGS.format(f'CAST(sum({_QUANTITY}) AS BIGINT)')})",
     "rbk_runs": "SELECT any_value(event_type) AS key, min(pos) AS first_pos, max(pos) AS last_pos, count(*) AS n FROM (SELECT *, pos - row_number() OVER (PARTITION BY event_type ORDER BY ts) AS island FROM (SELECT event_type, ts, row_number() OVER (ORDER BY ts, event_type) AS pos FROM events)) GROUP BY event_type, island",
     "distinct_idiom": "SELECT DISTINCT l_suppkey AS key FROM lineitem",
     "reduce_sum": "SELECT CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS value FROM orders",
@@ -322,6 +339,7 @@ ORACLES = {
     "text_roundtrip": "SELECT concat_ws(',', p_partkey, p_name) AS line FROM part",
     "object_roundtrip": "SELECT o_orderkey, o_orderpriority, o_orderdate FROM orders",
     "cache_roundtrip": "SELECT event_type AS key, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS value FROM events GROUP BY 1",
-    "random_ints": "SELECT range AS id, CAST((range * 1103515245 + 12345) % 2147483648 AS INTEGER) AS value FROM range(10000)",
+    "sorted_java_hash_long": "SELECT value, row_number() OVER (ORDER BY CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END, value) AS pos FROM (SELECT value, xor(value, value >> 32) & 4294967295 AS h FROM (SELECT o_orderkey * 7000000011 AS value FROM orders))",
+    "random_ints": f"SELECT CAST(CASE WHEN x >= 2147483648 THEN x - 4294967296 ELSE x END AS INTEGER) AS value, count(*) AS n FROM (SELECT xor(b, b >> 16) AS x FROM (SELECT {_ROUND.format('a')} AS b FROM (SELECT {_ROUND.format('i')} AS a FROM (SELECT xor(range, {7 * 0x45D9F3B}) AS i FROM range(10000))))) GROUP BY 1",
     "show_concat": "SELECT string_agg(concat_ws(',', n_nationkey, n_name), chr(10) ORDER BY n_nationkey) AS text FROM nation",
 }
