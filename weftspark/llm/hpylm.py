@@ -13,13 +13,17 @@ How it is spread over a cluster:
 * Documents become blocks of at most `block_words` tokens, written once and
   bucketed by block, so later joins with block-wise results leave them in place.
 * Words go as arrays to word buckets, bigrams as arrays to context buckets: one
-  row per pair of block and bucket, delta-free byte planes under zstandard. A
+  row per block and bucket that it has something for (at most one per word or bigram), byte planes under zstandard. The
+  number of buckets follows from the tokens, their order from the words, so scores do not depend on partitions. A
   context of more than `hot` customers is split over buckets by its next word.
 * A bucket samples its own restaurants. A split context shares out its tables by
   the mean of its parts; words are dealt by a hash, so each part is a fair one.
 * The context restaurants take unigram counts as parent while they are sampled;
   the unigram restaurant then seats the tables that they opened.
 
+A predictive probability is linear in the tables of each restaurant, and restaurants are sampled one level after
+the other, so its average over the sweeps is the one that the mean tables give; these are what is kept.
+
 Nothing that grows with the vocabulary reaches the driver: it sees four sums.
 """
 
@@ -147,7 +151,7 @@ def discount(ones: float, twos: float) -> float:
 
 # ---- blocks ------------------------------------------------------------------------------
 
-BLOCK = "block long, doc_ids binary, held binary, sizes binary, tokens binary, words binary, counts binary"
+BLOCK = "block long, doc_ids binary, held binary, sizes binary, tokens binary, words binary, counts binary, n long"
 
 
 def _close(ids: list, held: list[bool], parts: list[list[bytes]], block: int) -> tuple:
@@ -161,7 +165,7 @@ def _close(ids: list, held: list[bool], parts: list[list[bytes]], block: int) ->
     train = np.repeat(~np.array(held, bool), sizes)
     counts = np.bincount(tokens[train], minlength=len(words))
     known = packed(np.array([0 if i is None else i for i in ids], np.int64), np.array([i is None for i in ids], np.uint8))
-    return block, known, np.array(held, np.uint8).tobytes(), packed(narrow(sizes)), packed(narrow(tokens)), b"\n".join(words), packed(narrow(counts))
+    return block, known, np.array(held, np.uint8).tobytes(), packed(narrow(sizes)), packed(narrow(tokens)), b"\n".join(words), packed(narrow(counts)), len(tokens)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], block_words: int) -> Iterator[pa.RecordBatch]:
@@ -170,7 +174,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], block_words: int) -> Iterator[pa.
 
     def out() -> pa.RecordBatch:
         row = _close(ids, held, parts, first)
-        return pa.record_batch([pa.array([x], pa.int64() if k == 0 else pa.binary()) for k, x in enumerate(row)], names=[c.split()[0] for c in BLOCK.split(", ")])
+        return pa.record_batch([pa.array([x], pa.int64() if isinstance(x, int) else pa.binary()) for x in row], names=[c.split()[0] for c in BLOCK.split(", ")])
 
     for batch in batches:
         for doc_id, is_held, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
@@ -186,11 +190,22 @@ def _blocks(batches: Iterator[pa.RecordBatch], block_words: int) -> Iterator[pa.
         yield out()
 
 
-def _dealt(words: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the words in bucket order, and where each bucket begins."""
-    of = np.fromiter((xxhash.xxh64_intdigest(w) % buckets for w in words), np.int64, len(words))
+Spans = dict[int, tuple[int, int]]
+
+
+def _spans(sorted_buckets: np.ndarray) -> Spans:
+    """Where each bucket that occurs begins and ends; nothing is kept for the others."""
+    if not len(sorted_buckets):
+        return {}
+    at = np.flatnonzero(np.r_[True, sorted_buckets[1:] != sorted_buckets[:-1]])
+    return dict(zip(sorted_buckets[at].tolist(), zip(at.tolist(), [*at[1:].tolist(), len(sorted_buckets)], strict=True), strict=True))
+
+
+def _dealt(words: list[bytes], buckets: int) -> tuple[np.ndarray, Spans]:
+    """Places of the words in bucket order, and where each bucket stands."""
+    of = (np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(of, kind="stable")
-    return order, np.searchsorted(of[order], np.arange(buckets + 1))
+    return order, _spans(of[order])
 
 
 def _rows(rows: list[tuple], names: str) -> pa.RecordBatch:
@@ -208,30 +223,30 @@ def _send_words(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.
     for batch in batches:
         for row in batch.to_pylist():
             words, counts = row["words"].split(b"\n"), unpacked(row["counts"])[0]
-            order, starts = _dealt(words, buckets)
+            order, spans = _dealt(words, buckets)
             out = []
-            for k in range(buckets):
-                part = order[starts[k] : starts[k + 1]]
-                if len(part):
-                    text = squeeze.compress(b"\n".join([words[i] for i in part]))
-                    out.append((k, row["block"], struct.pack("<I", len(text)) + text + packed(counts[part])))
+            for k, (a, b) in spans.items():
+                part = order[a:b]
+                text = squeeze.compress(b"\n".join([words[i] for i in part]))
+                out.append((k, row["block"], struct.pack("<I", len(text)) + text + packed(counts[part])))
             yield _rows(out, SENT)
 
 
 def _number_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per block and bucket: number of each word in the bucket, and its training count in all."""
+    """Per block and bucket: number of each word in the bucket (by their order), and its training count in all."""
     loose = zstandard.ZstdDecompressor()
     groups: dict[int, list] = {}
     for batch in batches:
         for bucket, block, data in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
             groups.setdefault(bucket, []).append((block, data))
     for bucket, sent in groups.items():
-        number: dict[bytes, int] = {}
-        found = []
-        for block, data in sorted(sent):
+        got = []
+        for block, data in sent:
             size = struct.unpack_from("<I", data)[0]
-            words = loose.decompress(data[4 : 4 + size]).split(b"\n")
-            found.append((block, np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words)), unpacked(data[4 + size :])[0]))
+            got.append((block, loose.decompress(data[4 : 4 + size]).split(b"\n"), unpacked(data[4 + size :])[0]))
+        # by the words' own order, so that numbers do not depend on what block brought a word first
+        number = {w: k for k, w in enumerate(sorted({w for _, words, _ in got for w in words}))}
+        found = [(block, np.fromiter(map(number.__getitem__, words), np.int64, len(words)), counts) for block, words, counts in got]
         total = np.zeros(len(number), np.int64)
         for _, ids, counts in found:
             total[ids] += counts.astype(np.int64)
@@ -250,14 +265,13 @@ class Bigrams:
         self.sizes = unpacked(row["sizes"])[0].astype(np.int64)
         self.held = np.frombuffer(row["held"], np.uint8).astype(bool)
         self.tokens = unpacked(row["tokens"])[0].astype(np.int64)
-        self.order, self.starts = _dealt(self.words, buckets)
+        self.order, self.spans = _dealt(self.words, buckets)
         n = len(self.words)
         self.number, self.count = np.zeros(n, np.int64), np.zeros(n, np.int64)
         for got in row["numbered"]:
-            k = got["bucket"]
-            part = self.order[self.starts[k] : self.starts[k + 1]]
+            part = self.order[slice(*self.spans[got["bucket"]])]
             local, total = unpacked(got["data"])
-            self.number[part] = local.astype(np.int64) * buckets + k
+            self.number[part] = local.astype(np.int64) * buckets + got["bucket"]
             self.count[part] = total.astype(np.int64)
         # a text's last token is the end, so the end stands before every first word
         before = np.r_[0, self.tokens[:-1]]
@@ -275,22 +289,21 @@ class Bigrams:
         self.back = np.empty(len(by), np.int64)
         self.back[by] = np.arange(len(by))
         self.first, self.second, self.seen, self.part, self.parts = first[by], second[by], seen[by], part[by], self.parts[by]
-        self.ends = np.searchsorted(bucket[by], np.arange(buckets + 1))
+        bucket = bucket[by]
+        self.at = _spans(bucket)
         u, p = self.number[self.first], self.part
         edge = np.ones(len(by), bool)
-        edge[1:] = (u[1:] != u[:-1]) | (p[1:] != p[:-1]) | (bucket[by][1:] != bucket[by][:-1])
+        edge[1:] = (u[1:] != u[:-1]) | (p[1:] != p[:-1]) | (bucket[1:] != bucket[:-1])
         self.context_at = np.flatnonzero(edge)
         self.context_of = np.cumsum(edge) - 1
-        self.context_ends = np.searchsorted(self.context_at, self.ends)
+        self.contexts = _spans(bucket[self.context_at])
 
     def send(self, block: int) -> list[tuple]:
         rows = []
-        size_code = np.minimum(255, np.round(8 * np.log2(np.maximum(self.count, 1)))).astype(np.uint8)
-        for k in range(len(self.ends) - 1):
-            a, b = self.ends[k], self.ends[k + 1]
-            if a == b:
-                continue
-            at = self.context_at[self.context_ends[k] : self.context_ends[k + 1]]
+        # counts up to 2^64 in steps of 0.04 %
+        size_code = np.round(1000 * np.log2(np.maximum(self.count, 1))).astype(np.uint16)
+        for k, (a, b) in self.at.items():
+            at = self.context_at[slice(*self.contexts[k])]
             lengths = np.diff(np.r_[at, b])
             rows.append((k, block, packed(narrow(self.number[self.first[at]]), narrow(self.part[at]), narrow(self.parts[at]), narrow(self.count[self.first[at]]), narrow(lengths), narrow(self.number[self.second[a:b]]), narrow(self.seen[a:b]), size_code[self.second[a:b]])))
         return rows
@@ -301,9 +314,7 @@ class Bigrams:
         owned, c, t = np.zeros(n, bool), np.zeros(n), np.zeros(n)
         tables, d = np.zeros(m), np.full(m, 0.5)
         for got in row["seated"]:
-            k = got["bucket"]
-            a, b = self.ends[k], self.ends[k + 1]
-            x, y = self.context_ends[k], self.context_ends[k + 1]
+            (a, b), (x, y) = self.at[got["bucket"]], self.contexts[got["bucket"]]
             own, customers, mean, whole, rate = unpacked(got["data"])
             owned[a:b] = np.unpackbits(own, count=b - a).astype(bool)
             c[a:b] = customers
@@ -334,8 +345,10 @@ def _seat_contexts(batches: Iterator[pa.RecordBatch], total: int, theta: float,
         sizes = [len(g[5]) for g in got]
         contexts = [len(g[0]) for g in got]
         wide = lambda k: np.concatenate([g[k].astype(np.int64) for g in got])
-        key = wide(0) << 20 | wide(1)
-        known, of_list = np.unique(key, return_inverse=True)
+        # a context and its part as one number
+        _, first = np.unique(wide(0), return_inverse=True)
+        part = wide(1)
+        known, of_list = np.unique(first * (part.max(initial=0) + 1) + part, return_inverse=True)
         share = np.ones(len(known))
         share[of_list] = wide(2)
         context = np.repeat(of_list, wide(4))
@@ -350,7 +363,7 @@ def _seat_contexts(batches: Iterator[pa.RecordBatch], total: int, theta: float,
         d = discount(float((c == 1).sum()), float((c == 2).sum()))
         many = np.flatnonzero(c >= 2)
         fixed = np.bincount(group[c == 1], minlength=len(known)).astype(np.float64)
-        parent = np.exp2(code[by][at][many] / 8.0) / max(1, total)
+        parent = np.exp2(code[by][at][many] / 1000.0) / max(1, total)
         mean, tables = seat(c[many], group[many], fixed, share, np.minimum(parent, 1.0), d, theta, sweeps=sweeps, burn=burn, seed=seed + bucket)
         t = np.minimum(c, 1).astype(np.float64)
         t[many] = mean
@@ -362,7 +375,7 @@ def _seat_contexts(batches: Iterator[pa.RecordBatch], total: int, theta: float,
         out = []
         for (block, _), n, m in zip(sent, sizes, contexts, strict=True):
             e, l = entry[a : a + n], of_list[x : x + m]
-            out.append((bucket, block, packed(np.packbits(owned[a : a + n]), narrow(c[e]), narrow(np.round(16 * t[e]).astype(np.int64)), tables[l].astype(np.float32), np.array([d], np.float32))))
+            out.append((bucket, block, packed(np.packbits(owned[a : a + n]), narrow(c[e]), narrow(np.round(16 * t[e]).astype(np.int64)), tables[l].astype(np.float32), np.array([d]))))
             a, x = a + n, x + m
         yield _rows(out, SENT)
 
@@ -373,12 +386,12 @@ def _send_tables(batches: Iterator[pa.RecordBatch], buckets: int, hot: int) -> I
         for row in batch.to_pylist():
             b = Bigrams(row, buckets, hot)
             owned, _, t, _, _ = b.learned(row)
-            sums = np.bincount(b.second[owned], t[owned], len(b.words))
+            # in sixteenths, so that sums do not depend on how texts fall into blocks
+            sums = np.bincount(b.second[owned], np.round(16 * t[owned]), len(b.words)).astype(np.int64)
             out = []
-            for k in range(buckets):
-                part = b.order[b.starts[k] : b.starts[k + 1]]
-                if len(part):
-                    out.append((k, row["block"], packed(narrow(b.number[part] // buckets), sums[part].astype(np.float32))))
+            for k, span in b.spans.items():
+                part = b.order[slice(*span)]
+                out.append((k, row["block"], packed(narrow(b.number[part] // buckets), narrow(sums[part]))))
             yield _rows(out, SENT)
 
 
@@ -391,9 +404,10 @@ def _seat_words(batches: Iterator[pa.RecordBatch], vocabulary: int, d: float, th
         sent.sort()
         got = [unpacked(data) for _, data in sent]
         n = 1 + max(int(g[0].max()) for g in got)
-        customers = np.zeros(n)
+        sixteenths = np.zeros(n, np.int64)
         for ids, sums in got:
-            customers[ids.astype(np.int64)] += sums
+            sixteenths[ids.astype(np.int64)] += sums.astype(np.int64)
+        customers = sixteenths / 16
         c = np.round(customers).astype(np.int64)
         many = np.flatnonzero(c >= 2)
         share = np.array([vocabulary / max(1, (c > 0).sum())])
@@ -418,7 +432,7 @@ def _score(batches: Iterator[pa.RecordBatch], buckets: int, hot: int, sums: dict
             _, c, t, tables, d = b.learned(row)
             customers, above = np.zeros(len(b.words)), np.zeros(len(b.words))
             for got in row["rooted"]:
-                part = b.order[b.starts[got["bucket"]] : b.starts[got["bucket"] + 1]]
+                part = b.order[slice(*b.spans[got["bucket"]])]
                 customers[part], above[part] = unpacked(got["data"])
             uniform = (top_theta + d0 * sums["above"]) / (top_theta + sums["customers"]) / (words + 1)
             unigram = np.maximum(customers - d0 * above, 0) / (top_theta + sums["customers"]) + uniform
@@ -437,14 +451,14 @@ def _score(batches: Iterator[pa.RecordBatch], buckets: int, hot: int, sums: dict
             )
 
 
-def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, held_fold: int = 0, block_words: int = 1_000_000, hot: int = 500_000, theta: float = 2.0, top_theta: float = 100.0, sweeps: int = 12, burn: int = 4, seed: int = 17) -> DataFrame:
+def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, held_fold: int = 0, block_words: int = 1_000_000, bucket_words: int = 1_000_000, hot: int = 500_000, theta: float = 2.0, top_theta: float = 100.0, sweeps: int = 12, burn: int = 4, seed: int = 17) -> DataFrame:
     """One row per document row; the model learns from rows outside the held-out fold.
 
     doc_id, held_out, n_tokens (with the end), n_known (tokens seen in training),
     train_tokens, base_score (additive unigram model) and score, both log10
     probabilities of the whole text. Unknown words share one class of the vocabulary.
 
-    Null and empty texts are one end token. Repeated rows count as often as they
+    Null and empty texts are one end token, very long texts one block each. Repeated rows count as often as they
     occur. Other columns are ignored. An empty table gives an empty result; without
     training rows every probability comes from the uniform distribution.
     """
@@ -462,10 +476,13 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         return answers.filter("block >= 0").groupBy("block").agg(F.collect_list(F.struct("bucket", "data")).alias(column))
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), (fold(id_col, folds) == held_fold).alias("held"), F.col(text_col).alias("text"))
-    rows.mapInArrow(lambda b: _blocks(b, block_words), BLOCK).write.option("compression", "zstd").bucketBy(partitions, "block").saveAsTable(name)
+    paths.append(scratch_path(spark, "blocks"))
+    made = rows.mapInArrow(lambda b: _blocks(b, block_words), BLOCK).write.option("compression", "zstd").option("path", paths[-1])
+    made.bucketBy(partitions, "block").saveAsTable(name)
     try:
         blocks = spark.table(name)
-        buckets = max(partitions, blocks.count())
+        # by the number of tokens alone: what is seated together, and with what random numbers, must not follow the partitions
+        buckets = max(1, -(-int(blocks.agg(F.sum("n")).first()[0] or 0) // bucket_words))
         sent = blocks.select("block", "words", "counts").mapInArrow(lambda b: _send_words(b, buckets), SENT)
         numbered = kept(sent.repartitionById(buckets, "bucket").mapInArrow(_number_words, SENT), "words")
         of_all = np.sum([unpacked(r["data"])[0] for r in numbered.filter("block < 0").toLocalIterator()] or [np.zeros(4, np.int64)], axis=0)
@@ -491,3 +508,12 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         spark.sql(f"DROP TABLE IF EXISTS {name}")
         for p in paths:
             delete_path(spark, p)
+
+
+def perplexity(scores: DataFrame, *, score_col: str = "score") -> DataFrame:
+    """held_out, n_texts, n_tokens and the perplexity per token of each side of what score_texts returns.
+
+    10 to the power of minus the mean log10 probability of a token; a side without rows has none.
+    """
+    mean = F.sum(score_col) / F.sum("n_tokens")
+    return scores.groupBy("held_out").agg(F.count("*").alias("n_texts"), F.sum("n_tokens").alias("n_tokens"), F.pow(F.lit(10.0), -mean).alias("perplexity"))
