@@ -153,3 +153,79 @@ def test_perplexity(prose):
 def test_model_beats_base(prose):
     got = [r for r in hpylm.score_texts(prose).collect() if r["held_out"]]
     assert sum(r["score"] for r in got) > sum(r["base_score"] for r in got)
+
+
+class PlainModel:
+    """The same hierarchy customer by customer: each leaves and sits down again, its table being a customer above."""
+
+    def __init__(self, d1, d0, theta, top_theta, words, seed):
+        self.d, self.theta, self.base = {1: d1, 0: d0}, {1: theta, 0: top_theta}, 1 / (words + 1)
+        self.rooms, self.rng = {}, np.random.default_rng(seed)
+
+    def p(self, u, w):
+        level = 0 if u is None else 1
+        above = self.base if u is None else self.p(None, w)
+        room = self.rooms.get(u, {})
+        c, t = sum(map(sum, room.values())), sum(map(len, room.values()))
+        own = room.get(w, [])
+        return (sum(own) - self.d[level] * len(own) + (self.theta[level] + self.d[level] * t) * above) / (self.theta[level] + c)
+
+    def sit(self, u, w):
+        level = 0 if u is None else 1
+        room = self.rooms.setdefault(u, {})
+        own = room.setdefault(w, [])
+        above = self.base if u is None else self.p(None, w)
+        weights = np.array([n - self.d[level] for n in own] + [(self.theta[level] + self.d[level] * sum(map(len, room.values()))) * above])
+        k = self.rng.choice(len(weights), p=weights / weights.sum())
+        if k < len(own):
+            own[k] += 1
+        else:
+            own.append(1)
+            if u is not None:
+                self.sit(None, w)
+
+    def leave(self, u, w):
+        own = self.rooms[u][w]
+        k = self.rng.choice(len(own), p=np.array(own) / sum(own))
+        own[k] -= 1
+        if not own[k]:
+            del own[k]
+            if u is not None:
+                self.leave(None, w)
+
+
+def test_scores_agree_with_customer_by_customer_sampling(spark):
+    rng = np.random.default_rng(12)
+    words = [f"w{k}" for k in range(25)]
+    follow = {w: rng.choice(words, 4) for w in words}
+    rows = []
+    for k in range(120):
+        w, text = rng.choice(words), []
+        for _ in range(rng.integers(3, 15)):
+            text.append(str(w))
+            w = rng.choice(follow[w]) if rng.random() < 0.8 else rng.choice(words)
+        rows.append((k, " ".join(text)))
+    got = {r["doc_id"]: r["score"] for r in hpylm.score_texts(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    pairs = [(a, b) for k, t in rows if not held(k) for a, b in zip(["", *tokens(t)], tokens(t))]
+    single, double = Counter(b for _, b in pairs), Counter(pairs)
+    rate = lambda c: hpylm.discount(sum(n == 1 for n in c.values()), sum(n == 2 for n in c.values()))
+    model = PlainModel(rate(double), rate(single), 2.0, 100.0, len(single), 5)
+    for u, w in pairs:
+        model.sit(u, w)
+    total, sweeps = Counter(), 24
+    probe = [(k, list(zip(["", *tokens(t)], tokens(t)))) for k, t in rows[:60]]
+    mean = {}
+    for sweep in range(sweeps):
+        for u, w in pairs:
+            model.leave(u, w)
+            model.sit(u, w)
+        if sweep >= 8:
+            for _, ts in probe:
+                for u, w in set(ts):
+                    mean[u, w] = mean.get((u, w), 0) + 0
+            for u, w in mean:
+                total[u, w] += model.p(u, w)
+    want = {k: sum(math.log10(total[x] / (sweeps - 8)) for x in ts) for k, ts in probe}
+    off = [abs(got[k] / want[k] - 1) for k in want]
+    print(max(off), np.mean(off))
+    assert max(off) < 0.06 and np.mean(off) < 0.02
