@@ -16,6 +16,7 @@ from weftspark.operators.order import placed
 from weftspark.operators.runs import reduce_runs
 from weftspark.plans import jobs
 from weftspark.session import scratch_path
+from weftspark.shell import names
 from weftspark.sources.readers import random_ints as random_source
 
 
@@ -196,6 +197,26 @@ def rows_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select(key, name, F.round(balance * 100).cast("bigint").alias("cents"))
 
 
+def rows_by_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns by their places, which come from their names."""
+    df = delimited(spark, _written(spark, _table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey"), ",", True), header=True).df
+    second, last, none = (rows.index_of(df.schema, n) for n in ("n_name", "n_regionkey", "n_comment"))
+    return df.select(df[second].alias("name"), df[last].alias("region"), F.lit(none is None).alias("missing"))
+
+
+def shell_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the shell calls lines, objects and cached."""
+    call = names(spark)
+    nations = Dataset(_table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("value")))
+    text, folder = scratch_path(spark, "text"), scratch_path(spark, "objects")
+    nations.save_text(text)
+    nations.save_objects(folder)
+    said = call["lines"](text).df.select(F.lit("lines").alias("kind"), F.col("value").alias("line"))
+    kept = call["objects"](folder).rendered().select(F.lit("objects").alias("kind"), F.col("value").alias("line"))
+    held = call["cached"](nations.cache()).rendered().select(F.lit("cached").alias("kind"), F.col("value").alias("line"))
+    return said.unionByName(kept).unionByName(held)
+
+
 def rows_boolean(spark: SparkSession, sf_dir: str) -> DataFrame:
     flags = F.element_at(F.array(*[F.lit(x) for x in ("TRUE", "true", "yes", "1", "", "False")]), (F.col("r_regionkey") % 6 + 1).cast("int"))
     path = _written(spark, _table(spark, sf_dir, "region").select("r_regionkey", flags.alias("flag")), ",", True)
@@ -286,6 +307,8 @@ QUERIES = {
     "rows_generated_names": rows_generated_names,
     "rows_typed": rows_typed,
     "rows_boolean": rows_boolean,
+    "rows_by_position": rows_by_position,
+    "shell_names": shell_names,
     "rows_render": rows_render,
     "text_roundtrip": text_roundtrip,
     "object_roundtrip": object_roundtrip,
@@ -335,6 +358,8 @@ ORACLES = {
     "rows_generated_names": "SELECT CAST(n_nationkey AS VARCHAR) AS col0, n_name AS col1, CAST(n_regionkey AS VARCHAR) AS col2 FROM nation",
     "rows_typed": "SELECT CAST(s_suppkey AS INTEGER) AS s_suppkey, s_name, CAST(round(s_acctbal * 100) AS BIGINT) AS cents FROM supplier",
     "rows_boolean": "SELECT r_regionkey, r_regionkey % 6 < 2 AS flag FROM region",
+    "rows_by_position": "SELECT n_name AS name, CAST(n_regionkey AS VARCHAR) AS region, true AS missing FROM nation",
+    "shell_names": "SELECT kind, concat_ws(',', n_nationkey, n_name) AS line FROM nation, (VALUES ('lines'), ('objects'), ('cached')) k(kind)",
     "rows_render": "SELECT n_nationkey, concat_ws(';', n_nationkey, n_name, n_regionkey) AS line FROM nation",
     "text_roundtrip": "SELECT concat_ws(',', p_partkey, p_name) AS line FROM part",
     "object_roundtrip": "SELECT o_orderkey, o_orderpriority, o_orderdate FROM orders",
