@@ -174,3 +174,30 @@ def test_packed_documents(awkward, window):
             at += length
         assert at <= limit
     assert len(bins) <= 1.02 * -(-sum(r["length"] for r in got) // limit) + 3
+
+
+def test_a_worker_keeps_one_operators_cache():
+    import weakref
+
+    from weftspark.llm import common, tokens
+
+    mine = common.cache()
+    mine["x"] = 1
+    kept = weakref.ref(tokens.encoder(public_tokenizers.path(FILES[1])))
+    assert kept() is not None and not mine  # the encoder's turn
+    mine["x"] = 1
+    common.sole(mine)
+    assert kept() is None and mine == {"x": 1}
+    common.sole()
+    assert not mine
+
+
+def test_caches_are_bounded_by_characters():
+    from weftspark.llm.tokens import _Generations
+
+    made = []
+    words = _Generations(lambda w: made.append(w) or len(w), 10)
+    for k in range(100):
+        assert words[f"{k:0>90}"] == 90 and words["x" * 2000 + str(k)] > 2000
+        words.age()
+    assert len(words) <= 10 and len(words.older) <= 10 and not any(len(w) > 1000 for w in [*words, *words.older])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 from collections.abc import Iterator
 
@@ -37,11 +38,38 @@ def delete_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+_CACHES: list[dict] = []
+
+
+def cache() -> dict:
+    """A dict of a Python worker's own, which outlives a task and goes when the worker turns to another operator."""
+    _CACHES.append({})
+    return _CACHES[-1]
+
+
+def sole(mine: dict | None = None) -> None:
+    """Empties all caches but one's own: workers are used again, and what operators keep must not add up."""
+    if any([c and c is not mine for c in _CACHES]):
+        for c in _CACHES:
+            if c is not mine:
+                c.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+
 def single_thread() -> None:
     """Tokenizers' own threads would fight with Spark's task slots."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
 
 
+def slim(df: DataFrame, rows: int = 2000) -> DataFrame:
+    """df, its session's Arrow batches set to so many rows at most: whole texts go through buffers on both sides."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= rows:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return df
+
+
 def small(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
     """The batches in slices, so that texts turn into Python objects a few at a time."""
     for batch in batches:

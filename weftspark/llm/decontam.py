@@ -28,14 +28,14 @@ import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
-from weftspark.llm.common import LOWER, small
+from weftspark.llm.common import LOWER, cache, slim, small, sole
 
 #: Lower-cases A-Z and turns every ASCII byte that is neither letter nor digit into a space.
 _NORMAL = bytes(b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in LOWER)
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 #: bytes of documents that wait for the blocks, and words of items in the automata that a worker keeps
 WAITING, KEPT = 32 << 20, 800_000
-_BUILT: dict[tuple[str, int], tuple["ItemAutomaton", int]] = {}
+_BUILT: dict[tuple[str, int], tuple["ItemAutomaton", int]] = cache()
 
 
 def item_words(text: str | None) -> list[bytes]:
@@ -296,6 +296,7 @@ def _scanned(batches: Iterator[pa.RecordBatch], place: int, items: Items) -> Ite
 
     Of a text that surely holds no window the longest match is not looked for, it is -1.
     """
+    sole(_BUILT)
     waiting: list[pa.RecordBatch] = []
     size = 0
 
@@ -375,7 +376,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, text_col: str = "text",
     table or no items change nothing; columns of docs keep their names, whatever they are.
     """
     known = item_blocks(items, "item_id", "text", block_words, window)
-    schema = docs.schema
+    schema = slim(docs).schema
     place = schema.names.index(text_col)
     count = schema.names.index(n_chars_col) if n_chars_col in schema.names else None
 

@@ -22,13 +22,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftspark.llm.common import small
+from weftspark.llm.common import cache, slim, small, sole
 from weftspark.llm.sampling import bounded, fold, windows
 
 WINDOW, WIDTHS, FILTERS, EMBED, SYMBOLS = 256, (2, 3, 4), 16, 8, 157
 SPACE = 26
 _LETTER = regex.compile(r"\p{L}")
-_TABLES: dict[str, tuple] = {}
+_TABLES: dict[str, tuple] = cache()
 
 
 def _symbols() -> np.ndarray:
@@ -218,6 +218,7 @@ def identify(docs: DataFrame, model: ByteCNN | None, *, id_col: str = "doc_id",
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole(_TABLES)
         for batch in small(batches):
             named, scores = _judge(model, batch.column(1).to_pylist())
             yield pa.record_batch([batch.column(0), pa.array(named, pa.string()), pa.array(scores, pa.float64())], names=["id", "lang_pred", "score"])
@@ -231,9 +232,10 @@ def keep_identified(docs: DataFrame, model: ByteCNN | None, *, text_col: str = "
 
     Null and empty texts and those without a letter go; without a model all do. Repeated rows are judged alike.
     """
-    place = docs.schema.names.index(text_col)
+    place = slim(docs).schema.names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole(_TABLES)
         for batch in small(batches):
             named, scores = _judge(model, batch.column(place).to_pylist())
             yield batch.filter(pa.array([n != "und" and s >= min_score for n, s in zip(named, scores, strict=True)], pa.bool_()))

@@ -22,9 +22,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftspark.llm.common import small
+from weftspark.llm.common import slim, small, sole
 from weftspark.llm.sampling import bounded, fold
-from weftspark.llm.tokens import _Generations
 
 SYMBOL_BYTES = b"#*$%&|<>!{}[]@_=~^\\/"
 STATISTICS, WORDS = 24, 16
@@ -53,8 +52,7 @@ def statistics(text: str | None) -> list[float]:
     runs = sum(a == b for a, b in zip(words, words[1:]))
     threes = len(set(zip(words, words[1:], words[2:])))
     lengths = np.fromiter(map(len, words), np.int32, n)
-    code = np.fromiter(map(_PLACES.__getitem__, seen), np.int64, distinct)
-    _PLACES.age()
+    code = (np.fromiter(map(xxhash.xxh64_intdigest, seen), np.uint64, distinct) % np.uint64(2 * WORDS)).astype(np.int64)
     hashed = np.bincount(code >> 1, 2.0 * (code & 1) - 1, WORDS) / distinct**0.5
     return [
         0.0,
@@ -85,10 +83,6 @@ def statistics(text: str | None) -> list[float]:
     ]
 
 
-#: of each word its place and sign
-_PLACES = _Generations(lambda w: xxhash.xxh64_intdigest(w) % (2 * WORDS), 200_000)
-
-
 def matrix(texts: list[str | None]) -> np.ndarray:
     return np.array([statistics(t) for t in texts], np.float64).reshape(-1, FEATURES)
 
@@ -222,6 +216,7 @@ def judge(docs: DataFrame, model: PUModel | None, *, id_col: str = "doc_id", tex
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole()
         for batch in small(batches):
             s = _scores(model, batch.column(1).to_pylist())
             yield pa.record_batch([batch.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["id", "score", "predicted"])
@@ -236,9 +231,10 @@ def keep_good(docs: DataFrame, model: PUModel | None, *, text_col: str = "text",
     Nulls, empty and long texts are scored as in judge(); copies stay or go
     together; without a model, and of an empty table, all rows stay.
     """
-    place = docs.schema.names.index(text_col)
+    place = slim(docs).schema.names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole()
         for batch in small(batches):
             yield batch.filter(pa.array(_scores(model, batch.column(place).to_pylist()) >= threshold))
 

@@ -23,7 +23,7 @@ import numpy as np
 import regex
 from tokenizers import Tokenizer
 
-from weftspark.llm.common import single_thread
+from weftspark.llm.common import cache, single_thread, sole
 
 BYTE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
@@ -141,11 +141,12 @@ class WordEncoder:
         return np.frombuffer(self.encode(text), self.dtype)
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
+_ENCODERS: dict[str, WordEncoder] = cache()
 
 
 def encoder(path: str) -> WordEncoder:
     """One encoder per Python worker and file, so that the cache outlives a task."""
+    sole(_ENCODERS)
     if path not in _ENCODERS:
         _ENCODERS.clear()
         _ENCODERS[path] = WordEncoder(path)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftspark.llm.common import materialise, small
+from weftspark.llm.common import cache, materialise, small, sole
 from weftspark.llm.sampling import bounded, fold
 from weftspark.llm.tokens import _Generations
 
@@ -209,7 +209,7 @@ class Scorer:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, total))))
 
 
-_SCORERS: dict[str, Scorer] = {}
+_SCORERS: dict[str, Scorer] = cache()
 
 
 def _train(rows: list[np.ndarray], truth: np.ndarray, *, least: int, epochs: int, decay: float, seed: int) -> tuple[dict[int, float], float]:
@@ -301,6 +301,7 @@ def judge(docs: DataFrame, model: ToxicModel, *, id_col: str = "doc_id", text_co
     key = model.name()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole(_SCORERS)
         if key not in _SCORERS:
             _SCORERS.clear()
             _SCORERS[key] = shared.value.scorer()
