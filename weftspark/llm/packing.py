@@ -198,19 +198,20 @@ def _packed(batches: Iterator[tuple], limit: int, window: int, first: int, reope
         yield _emit(rows, limit, number, reopen)
 
 
-def pack_documents(docs: DataFrame, tokenizer_file: str, *, limit: int = 2048, end_id: int | None = 0, id_col: str = "doc_id", text_col: str = "text", window_ids: int = 1 << 22, reopen: float = 0.97, second_pieces: int = 50_000) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_file: str, *, limit: int = 2048, end_id: int | None = 0, id_col: str = "doc_id", text_col: str = "text", window_ids: int = 1 << 22, reopen: float = 0.97, second_pieces: int = 50_000, cache_words: int = 500_000) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids (little-endian unsigned 32-bit), sequence_id, offset.
 
     Documents longer than limit are cut into pieces of limit ids, the last may be
     shorter; all others stay whole. A null or empty text is its end id alone; if
     end_id is None it has no piece. Very long texts are encoded whole, one at a
     time. Null ids stay null. Repeated rows are packed as often as they occur. Other columns
-    are ignored. An empty table gives an empty result.
+    are ignored. An empty table gives an empty result. cache_words bounds the memory that
+    a worker's encoder keeps words in.
     """
     tail = np.array([] if end_id is None else [end_id], "<u4")
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        words = encoder(tokenizer_file)
+        words = encoder(tokenizer_file, cache_words)
         for batch in small(batches):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = np.concatenate([words.ids(text).astype("<u4"), tail])

@@ -144,13 +144,14 @@ class WordEncoder:
 _ENCODERS: dict[str, WordEncoder] = cache()
 
 
-def encoder(path: str) -> WordEncoder:
-    """One encoder per Python worker and file, so that the cache outlives a task."""
+def encoder(path: str, words: int = 500_000) -> WordEncoder:
+    """One encoder per Python worker and file, so that the cache (of so many words) outlives a task."""
     sole(_ENCODERS)
-    if path not in _ENCODERS:
+    key = f"{path} {words}"
+    if key not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+        _ENCODERS[key] = WordEncoder(path, words)
+    return _ENCODERS[key]
 
 
 def ids_crc32(ids: np.ndarray) -> int:
