@@ -38,6 +38,13 @@ def delete_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Remove tables of materialise, once nothing reads them any more."""
+    for t in tables:
+        for path in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
+            delete_path(t.sparkSession, path)
+
+
 _CACHES: list[dict] = []
 
 
