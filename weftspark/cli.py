@@ -19,7 +19,7 @@ def main(argv: list[str] | None = None) -> int:
     for mode in (count, http):
         mode.add_argument("n", type=int)
         mode.add_argument("--seed", type=int, default=0)
-    http.add_argument("--url", help="echo service; a local stub if left out")
+    http.add_argument("--url", help="echo service; stubs beside the tasks if left out")
     http.add_argument("--max-in-flight", type=int, default=64)
     modes.add_parser("shell", help="interactive shell with spark, lines and objects")
     args = parser.parse_args(argv)
@@ -34,10 +34,7 @@ def main(argv: list[str] | None = None) -> int:
         key, n = jobs.count_job(spark, args.n, args.seed)
         print(f"most popular is {key} with {n} times")
     else:
-        server = None if args.url else jobs.EchoServer(spark.sparkContext.getConf().get("spark.driver.host", "127.0.0.1"))
-        print(jobs.http_job(spark, random_ints(spark, args.n, seed=args.seed), args.url or server.url, args.max_in_flight))
-        if server:
-            server.close()
+        print(jobs.http_job(spark, random_ints(spark, args.n, seed=args.seed), args.url, args.max_in_flight))
     print(f"completed in {1000 * (time.time() - began):.0f} ms")
     return 0
 

@@ -20,7 +20,7 @@ from pyspark.sql.types import DataType
 from weftspark.functions.scalars import java_hash_of, render
 from weftspark.operators import cache as kept
 from weftspark.operators.calls import Returns, called, elements
-from weftspark.operators.http import HttpClient, map_http, mapped_objects
+from weftspark.operators.http import AsyncHttpClient, HttpClient, awaited, map_http, mapped_objects, taking_turns
 from weftspark.operators.monoids import aggregate
 from weftspark.operators.order import CmpKey, numbered, sort_columns
 
@@ -196,12 +196,16 @@ class PyDataset:
         return PyDataset(self.spark, self.rdd.map(f))
 
     def map_http(self, function: Callable[[HttpClient, Any], Any], *, max_in_flight: int = 64, timeout: float = 30.0, retries: int = 2) -> "PyDataset":
-        """map with an HTTP client for each task, closed at its end."""
+        """map with an HTTP client for each task, closed at its end; async functions as in operators.http.map_http."""
+        turns = awaited(function)
 
         def run(rows: Iterator) -> Iterator:
-            client = HttpClient(timeout, retries)
+            client = (AsyncHttpClient if turns else HttpClient)(timeout, retries)
             try:
-                yield from mapped_objects(rows, lambda x: function(client, x), max_in_flight)
+                if turns:
+                    yield from taking_turns(rows, lambda x: function(client, x), client, max_in_flight)
+                else:
+                    yield from mapped_objects(rows, lambda x: function(client, x), max_in_flight)
             finally:
                 client.close()
 

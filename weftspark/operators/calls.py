@@ -54,16 +54,16 @@ def _plain(value: Any) -> Any:
     return value.asDict(recursive=True) if isinstance(value, Row) else value
 
 
-def called(batches: Iterator[pa.RecordBatch], function: Callable[[tuple], Any], in_flight: int = 1) -> Iterator[tuple[pa.RecordBatch, list]]:
-    """Slices of the batches with the function's results for their rows, in order."""
-    pool = ThreadPoolExecutor(in_flight) if in_flight > 1 else None
+def called(batches: Iterator[pa.RecordBatch], function: Callable[[tuple], Any], in_flight: int = 1, run: Callable[[Callable, list, int], list] | None = None) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Slices of the batches with the function's results for their rows, in order; run calls it in place of threads."""
+    pool = ThreadPoolExecutor(in_flight) if in_flight > 1 and not run else None
     try:
         for batch in batches:
             size = max(SLICE, 4 * in_flight)
             for k in range(0, batch.num_rows, size):
                 part = batch.slice(k, size)
                 rows = list(zip(*(c.to_pylist(maps_as_pydicts="strict") for c in part.columns), strict=True))
-                yield part, list(pool.map(function, rows) if pool else map(function, rows))
+                yield part, run(function, rows, in_flight) if run else list(pool.map(function, rows) if pool else map(function, rows))
     finally:
         if pool:
             pool.shutdown(cancel_futures=True)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import http.client
+import inspect
 import itertools
 import threading
 from collections.abc import Callable, Iterator
@@ -14,22 +15,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import DataType
 
-from weftspark.operators.calls import Returns, called, elements
+from weftspark.operators.calls import SLICE, Returns, called, elements
+from weftspark.operators.turns import AsyncHttpClient, HttpError, Kept
 
 
-class HttpError(RuntimeError):
-    """An answer of status 400 or more, or no answer at all."""
-
-
-class HttpClient:
+class HttpClient(Kept):
     """GET and POST over connections that each thread keeps open."""
 
     def __init__(self, timeout: float = 30.0, retries: int = 2):
+        super().__init__()
         self.timeout, self.retries = timeout, retries
         self._local = threading.local()
         self._open: list[http.client.HTTPConnection] = []
-        self._lock = threading.Lock()
-        self.closed = False
 
     def _connection(self, scheme: str, host: str) -> http.client.HTTPConnection:
         mine = self._local.__dict__.setdefault("connections", {})
@@ -68,7 +65,17 @@ class HttpClient:
     def close(self) -> None:
         for c in self._open:
             c.close()
-        self.closed = True
+        super().close()
+
+
+def awaited(function: Callable) -> bool:
+    return inspect.iscoroutinefunction(function) or inspect.iscoroutinefunction(getattr(function, "__call__", None))  # noqa: B004
+
+
+def taking_turns(rows: Iterator, function: Callable, client: AsyncHttpClient, in_flight: int) -> Iterator:
+    """mapped_objects for an async function."""
+    while part := list(itertools.islice(rows, max(SLICE, 4 * in_flight))):
+        yield from client.run(function, part, in_flight)
 
 
 def mapped_objects(rows: Iterator, function: Callable, in_flight: int) -> Iterator:
@@ -84,13 +91,15 @@ def map_http(df: DataFrame, function: Callable[[HttpClient, Any], Any], returns:
     Elements are values, pairs or Rows; returns as in Dataset.map. Order within a task is kept; partitions
     deals the rows to so many tasks first, for small tables whose calls are slow. A task
     that is run again repeats its calls: at least once. Errors of the function end the job.
+    An async function gets an AsyncHttpClient, awaits its calls (and nothing else), and all calls of a task take
+    turns in one thread; other functions run in max_in_flight threads, which costs several times as much a call.
     """
-    see, shape = element or elements(df.columns), Returns(returns)
+    see, shape, turns = element or elements(df.columns), Returns(returns), awaited(function)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        client = HttpClient(timeout, retries)
+        client = (AsyncHttpClient if turns else HttpClient)(timeout, retries)
         try:
-            for _, out in called(batches, lambda x: function(client, see(x)), max_in_flight):
+            for _, out in called(batches, lambda x: function(client, see(x)), max_in_flight, client.run if turns else None):
                 yield shape.batch(out)
         finally:
             client.close()

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from weftspark import Dataset, cached, delimited, lines, objects
 from weftspark.functions import rows
 from weftspark.functions.scalars import render
-from weftspark.operators.http import HttpClient
+from weftspark.operators.http import AsyncHttpClient
 from weftspark.operators.order import placed
 from weftspark.operators.runs import reduce_runs
 from weftspark.plans import jobs
@@ -249,16 +249,14 @@ def random_ints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def map_http(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Over pairs. The result is one row, so it is taken while the server runs."""
+    """Over pairs, each with a call of its own to a stub beside its task: one in the driver would be slower than the tasks."""
     pairs = Dataset(_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), (F.col("o_orderkey") % 10).alias("value")))
-    with jobs.EchoServer(spark.sparkContext.getConf().get("spark.driver.host", "127.0.0.1")) as server:
-        url = server.url
 
-        def digit(client: HttpClient, pair: tuple[int, int]) -> tuple[int, int]:
-            return pair[0] % 10, ord(client.get(f"{url}/get?value={pair[1]}")[jobs.DIGIT_AT]) - 48
+    async def digit(client: AsyncHttpClient, pair: tuple[int, int]) -> tuple[int, int]:
+        return pair[0] % 10, await jobs.echoed(client, pair[1])
 
-        got = pairs.map_http(digit, "key bigint, value bigint", partitions=spark.sparkContext.defaultParallelism)
-        value = got.filter("key = value").map("value").reduce("sum", 0)
+    got = pairs.map_http(digit, "key bigint, value bigint", partitions=spark.sparkContext.defaultParallelism)
+    value = got.filter("key = value").map("value").reduce("sum", 0)
     return spark.createDataFrame([(value % 10000,)], "value bigint")
 
 

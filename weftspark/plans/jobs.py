@@ -1,81 +1,19 @@
-"""The two demonstration jobs, and the local HTTP stub that the second can use."""
+"""The two demonstration jobs."""
 
 from __future__ import annotations
 
-import socketserver
-import threading
-import time
-from urllib.parse import parse_qs, urlsplit
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftspark.dataset import Dataset
-from weftspark.operators.http import HttpClient
+from weftspark.operators.http import AsyncHttpClient
+from weftspark.plans.echo import EchoProcess, EchoServer
 from weftspark.sources.readers import random_ints
 
+__all__ = ["EchoServer", "count_job", "echoed", "frequencies", "http_job", "most_popular"]
+
 #: Fixed value: where the echoed digit stands in the answer of /get: {"args":{"value":"n"},...
 DIGIT_AT = 18
-STATUS = {200: b"OK", 404: b"Not Found", 406: b"Not Acceptable"}
-
-
-class EchoServer:
-    """/test greets, /echo?value=v answers v (406 without it), /get?value=n answers JSON; counts calls in flight.
-
-    Reads plain GET requests over connections that stay open; an answer leaves in one piece.
-    """
-
-    def __init__(self, host: str = "127.0.0.1", port: int = 0, delay: float = 0.0):
-        server, self.most, self.now, self.lock = self, 0, 0, threading.Lock()
-
-        class Handler(socketserver.StreamRequestHandler):
-            wbufsize, disable_nagle_algorithm = 1 << 16, True
-
-            def handle(self) -> None:
-                while line := self.rfile.readline():
-                    while self.rfile.readline() not in (b"\r\n", b"\n", b""):
-                        pass
-                    status, body = server.answer(line.split()[1].decode(), delay)
-                    self.wfile.write(b"HTTP/1.1 %d %s\r\nContent-Length: %d\r\n\r\n%s" % (status, STATUS[status], len(body), body))
-                    self.wfile.flush()
-
-        class Server(socketserver.ThreadingTCPServer):
-            daemon_threads, request_queue_size, allow_reuse_address = True, 1024, True
-
-        self.tcp = Server((host, port), Handler)
-        self.url = f"http://{host}:{self.tcp.server_address[1]}"
-        threading.Thread(target=self.tcp.serve_forever, daemon=True).start()
-
-    def answer(self, path: str, delay: float) -> tuple[int, bytes]:
-        with self.lock:
-            self.now += 1
-            self.most = max(self.most, self.now)
-        try:
-            at = urlsplit(path)
-            value = parse_qs(at.query).get("value", [None])[0]
-            if at.path == "/test":
-                return 200, b"hello"
-            if at.path in ("/echo", "/get") and value is None:
-                return 406, b""
-            if at.path == "/echo":
-                time.sleep(delay)
-                return 200, value.encode()
-            if at.path == "/get":
-                return 200, f'{{"args":{{"value":"{value}"}},"url":"{path}"}}'.encode()
-            return 404, b""
-        finally:
-            with self.lock:
-                self.now -= 1
-
-    def close(self) -> None:
-        self.tcp.shutdown()
-        self.tcp.server_close()
-
-    def __enter__(self) -> "EchoServer":
-        return self
-
-    def __exit__(self, *_: object) -> None:
-        self.close()
 
 
 def frequencies(values: DataFrame, column: str = "value") -> Dataset:
@@ -94,10 +32,15 @@ def count_job(spark: SparkSession, count: int, seed: int = 0) -> tuple[int, int]
     return (-1, -1) if row is None or row["key"] is None else (row["key"], row["n"])
 
 
-def http_job(spark: SparkSession, values: Dataset, url: str, max_in_flight: int = 64, partitions: int | None = None) -> int:
-    """Each value's last digit goes to url/get and comes back; the sum of the digits modulo 10000."""
+async def echoed(client: AsyncHttpClient, digit: int, url: str | None = None) -> int:
+    """The digit as url/get gives it back; without a url, a stub beside the task does, so that stubs are as many as tasks."""
+    return ord((await client.get(f"{url or client.kept(EchoProcess).url}/get?value={digit}"))[DIGIT_AT]) - 48
+
+
+def http_job(spark: SparkSession, values: Dataset, url: str | None = None, max_in_flight: int = 64, partitions: int | None = None) -> int:
+    """Each value's last digit goes to url/get (or to stubs) and comes back; the sum of the digits modulo 10000."""
 
-    def digit(client: HttpClient, x: int) -> int:
-        return ord(client.get(f"{url}/get?value={abs(x) % 10}")[DIGIT_AT]) - 48
+    async def digit(client: AsyncHttpClient, x: int) -> int:
+        return await echoed(client, abs(x) % 10, url)
 
     return values.map_http(digit, "bigint", max_in_flight=max_in_flight, partitions=partitions).reduce("sum", 0) % 10000
